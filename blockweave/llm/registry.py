@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import decontaminate, html_text, line_quality, mixing, near_dedup, token_count
+from blockweave.llm import decontaminate, html_text, language_id, line_quality, mixing, near_dedup, token_count, toxicity
 from blockweave.llm.common import read
 
 
@@ -19,6 +19,11 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.judge(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_chars")
@@ -28,6 +33,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(read(spark, sf_dir, "documents"), width=2).drop("key")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,8 +49,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_token_count": op3_token_count,
+    "op4_language_id": op4_language_id,
     "op5_line_quality": op5_line_quality,
     "op7_near_dedup": op7_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_html_text": op10_html_text,
 }
