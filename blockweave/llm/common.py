@@ -44,7 +44,7 @@ def sample_by_hash(df: DataFrame, limit: int, *by: str, id_col: str, seed: int =
     the hash: no group is ever sorted or collected as a whole.
     """
     h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30))
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).withColumn(
+    sizes = df.groupBy(*by).agg(F.greatest(F.count("*"), F.lit(1)).alias("_n")).withColumn(
         "_most", F.least(F.lit(1.0), F.lit(1.2 * limit) / F.col("_n") + F.lit(32.0) / F.col("_n")) * float(1 << 30)
     )
     picked = df.withColumn("_h", h)
