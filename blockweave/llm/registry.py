@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import decontaminate, html_text, language_id, line_quality, mixing, near_dedup, secrets, token_count, toxicity
+from blockweave.llm import decontaminate, html_text, language_id, line_quality, mixing, near_dedup, secrets, token_count, toxicity, url_templates
 from blockweave.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_chars")
 
 
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(read(spark, sf_dir, "pages"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(read(spark, sf_dir, "documents"), width=2).drop("key")
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_count": op3_token_count,
     "op4_language_id": op4_language_id,
     "op5_line_quality": op5_line_quality,
+    "op6_url_templates": op6_url_templates,
     "op7_near_dedup": op7_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
