@@ -10,10 +10,12 @@ hashes, at about the cost of a few.
 Rows with equal sets are one node.  Sketch places are hashed in bands, and nodes that
 share a band's hash are in a bucket.  Pairs of a bucket aren't all formed: each member
 is first compared with the bucket's smallest node, on full sets, and what is linked
-becomes one component.  Only buckets that still hold several components go on: pairs
-of different components are compared unless sizes forbid the link or the distances
-to the common pivot do, as the Jaccard distance is a metric and |d(a,p) - d(b,p)|
-never exceeds d(a,b).  So every pair in a bucket is linked, connected or excluded.
+becomes one component.  In buckets that still hold several components, members are
+compared with the centre of the bucket's largest component and with the member next to
+it.  Pairs of components that are apart even then are compared unless a bound forbids
+the link: parity words of 4096 bits, whose differing bits are never more than the
+elements that differ, or the distances to the centre, as the Jaccard distance is a
+metric.  So every pair in a bucket is linked, connected or excluded by a proof.
 
 With 40 bands of 5 places a pair of similarity 0.8 misses all buckets with a
 probability of 1.2e-7 (0.9: below 1e-15).  No bucket or list of partners is cut off.
@@ -46,6 +48,8 @@ from blockweave.llm.components import components
 BANDS, ROWS = 40, 5
 #: Bits of the bitmap of rows whose sets travel, and partners of a pivot per salt.
 BITS, PARTNERS = 1 << 24, 32
+#: 64-bit words in a set's parity.
+WORDS = 64
 _U = np.uint64
 
 
@@ -80,6 +84,12 @@ def shingle_set(text: str | None, width: int, hashes: dict) -> np.ndarray:
     return np.unique(out)
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """Bit k: whether an odd number of the elements falls on k, as words."""
+    bits = np.bincount(items.view(np.uint64) % _U(64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def sketches(sets: list[np.ndarray], places: int) -> np.ndarray:
     """One row of ``places`` filled places for each of the sets, none of which is empty."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -138,7 +148,7 @@ def _set_maker(width: int, bitmap) -> Callable:
             for at in range(0, len(wanted), 512):
                 some = pa.array(wanted[at : at + 512])
                 sets = [shingle_set(t, width, hashes).view(np.int64) for t in batch.column("text").take(some).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(some), pa.array(sets, pa.list_(pa.int64()))], names=["key", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(some), pa.array(sets, pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["key", "items", "parity"])
 
     return run
 
@@ -154,10 +164,10 @@ def _bitmap(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) -> (a, b, inter, total, linked), on full sets; ``a`` may be hot."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, centres: DataFrame | None = None) -> DataFrame:
+    """(a, b) -> (a, b, inter, total, linked), on full sets; ``a`` may be hot, and is one of the centres if any are given."""
     salts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")))
-    left = salts.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = salts.join((sets if centres is None else centres).select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     # Both sides know a pivot's number of salts; the pairs get it with their salt.
     right = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
     right = right.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
@@ -167,9 +177,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(out.withColumn("linked", 100 * F.col("inter") >= percent * F.col("total")))
 
 
-def _could_link(n: Column, m: Column, percent: int) -> Column:
-    """The smaller set may be in the larger one at best."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links (a, b); components that are linked get the smallest label."""
+    label = lambda c: F.coalesce(F.col("l_" + c), F.col(c))
+    for c in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias("l_" + c)), c, "left")
+    links = cut(links.select(label("a").alias("a"), label("b").alias("b")).where("a <> b").distinct())
+    if not links.limit(1).count():
+        return labels
+    over = components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    renamed = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    alone = over.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    return cut(renamed.union(alone))
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their labels, of buckets that hold several components."""
+    place = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = place.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("bucket")
+    return cut(place.join(several, "bucket"))
+
+
+def _apart(x: str, y: str, percent: int) -> Column:
+    """True if the parity words of two sets show that they can't be linked.
+
+    A word's bit is the parity of the elements that fall on it, so the bits in which two
+    sets differ are at most the elements that only one of them has.
+    """
+    apart = F.zip_with(x + ".parity", y + ".parity", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(apart, F.lit(0), lambda total, k: total + k)
+    return (100 + percent) * differ > (100 - percent) * (F.col(x + ".n") + F.col(y + ".n"))
+
+
+def _beside_centre(members: DataFrame, star: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Further labels from the buckets that hold several components after the star.
+
+    A component's centre is the elements that half of its nodes have: of edited copies,
+    about their original.  In each bucket the member next to the centre of the largest
+    component is compared with all others; then pairs that are still apart are formed,
+    unless a bound forbids the link.
+    """
+    place = _mixed(members.select("bucket", "node", "n"), labels)
+    if not place.limit(1).count():
+        return labels
+    chief = place.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m")).select("bucket", F.col("m.label").alias("centre"))
+    place = cut(place.join(chief, "bucket"))
+    wanted = place.select(F.col("centre").alias("label")).distinct()
+    some = cut(place.select("node", "label").distinct().join(wanted, "label", "left_semi").join(sets.select("node", "items"), "node"))
+    items = some.select("label", F.explode("items").alias("item")).groupBy("label", "item").agg(F.count("*").alias("c"))
+    half = items.join(cut(some.groupBy("label").agg(F.count("*").alias("size"))), "label").where("2 * c >= size")
+    centres = cut(half.groupBy(F.col("label").alias("node")).agg(F.collect_list("item").alias("items")))
+    known = _verified(cut(place.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), sets, percent, centres)
+    distance = known.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("total")).alias("d"))
+    place = cut(place.join(distance, ["centre", "node"]).select("bucket", "node", "n", "d"))
+    heart = place.groupBy("bucket").agg(F.min(F.struct("d", "node")).alias("m")).select("bucket", F.col("m.node").alias("a"))
+    again = place.join(heart, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    tried = _verified(cut(again.join(star.select("a", "b"), ["a", "b"], "left_anti")), sets, percent)
+    labels = _merged(labels, tried.where("linked").select("a", "b"))
+    place = cut(_mixed(place, labels).join(sets.select("node", "parity"), "node"))
+    x, y = place.alias("x"), place.alias("y")
+    near = F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & near & ~_apart("x", "y", percent))
+    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    done = star.select("a", "b").union(tried.select(F.least("a", "b"), F.greatest("a", "b")))
+    rest = cut(rest.join(done, ["a", "b"], "left_anti"))
+    if not rest.limit(1).count():
+        return labels
+    return _merged(labels, _verified(rest, sets, percent).where("linked").select("a", "b"))
 
 
 def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -185,35 +259,11 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     members = cut(members.join(shared, "bucket"))
     pairs = cut(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"))
-    made = slim.mapInArrow(_set_maker(width, _bitmap(wanted)), "key long, items array<long>")
-    sets = cut(wanted.join(made, "key").groupBy("node").agg(F.first("items").alias("items")))
+    made = slim.mapInArrow(_set_maker(width, _bitmap(wanted)), "key long, items array<long>, parity array<long>")
+    sets = cut(wanted.join(made, "key").groupBy("node").agg(F.first("items").alias("items"), F.first("parity").alias("parity")))
     star = _verified(pairs, sets, percent)
-    links = star.where("linked").select("a", "b")
-    labels = components(links)
-    # Buckets that still hold several components.
-    near = lambda c: F.col(c + ".inter") / F.col(c + ".total")
-    place = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = place.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("bucket")
-    known = star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("total")).alias("d"))
-    place = place.join(mixed, "bucket").join(known, ["pivot", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    place = cut(place.where("node <> pivot").select("bucket", "node", "n", "label", "d"))
-    x, y = place.alias("x"), place.alias("y")
-    far = 1 - percent / 100 + 1e-9
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (F.abs(F.col("x.d") - F.col("y.d")) <= far) & _could_link(F.col("x.n"), F.col("y.n"), percent))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = cut(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = _verified(rest, sets, percent).where("linked").select("a", "b")
-        # A component that has only old links stays one: its label stands for it.
-        label = lambda c: F.coalesce(F.col("l_" + c), F.col(c))
-        for c in ("a", "b"):
-            more = more.join(labels.select(F.col("node").alias(c), F.col("label").alias("l_" + c)), c, "left")
-        more = cut(more.select(label("a").alias("a"), label("b").alias("b")).distinct())
-        if more.limit(1).count():
-            over = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
-            labels = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-            alone = over.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
-            labels = cut(labels.union(alone))
+    labels = components(star.where("linked").select("a", "b"))
+    labels = _beside_centre(members, star, sets, labels, percent)
     named = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = named.join(ids, "label").select("node", "component_id")
