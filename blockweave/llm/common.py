@@ -53,7 +53,8 @@ def sample_by_hash(df: DataFrame, limit: int, *by: str, id_col: str, seed: int =
         cond = match[0]
         for m in match[1:]:
             cond = cond & m
-        picked = picked.join(sizes, cond & (picked["_h"] < sizes["_most"]), "left_semi")
+        # A row for each group: callers group by columns of few values.
+        picked = picked.join(F.broadcast(sizes), cond & (picked["_h"] < sizes["_most"]), "left_semi")
     else:
         most = sizes.first()["_most"]
         picked = picked.where(F.col("_h") < F.lit(most))
