@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from blockweave.llm.common import cut
 
 
+#: Rows of a round's tables in one task; rounds over few links stay in few files.
+ROWS_IN_TASK = 20_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): label is the smallest node of the component; nodes without an edge have no row.
 
@@ -15,14 +19,15 @@ def components(edges: DataFrame) -> DataFrame:
     label; labels and counts stay in tables, and a round's lineage is cut.
     """
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("beside")).union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("beside")).alias("label")))
+    tasks = 1 + both.count() // ROWS_IN_TASK
+    both = both.coalesce(tasks)
+    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("beside")).alias("label")).coalesce(tasks))
     while True:
         theirs = labels.select(F.col("node").alias("beside"), F.col("label").alias("l"))
         near = both.join(theirs, "beside").groupBy("node").agg(F.min("l").alias("near"))
         stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels_new = cut(stepped.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
-        changed = labels_new.where("label <> old").limit(1).count()
-        labels = labels_new.select("node", "label")
-        if not changed:
+        new = cut(stepped.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")).coalesce(tasks))
+        labels = new.select("node", "label")
+        if not new.where("label <> old").limit(1).count():
             return labels
