@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
 from blockweave.functions import roads as R
-from blockweave.operators import access, blocks, display, graphs, network, places, polygonize, routing, sizing, spatial, traffic
+from blockweave.operators import access, blocks, cell_merge, display, graphs, network, noding, places, polygonize, routing, sizing, spatial, traffic
 from blockweave.plans.oracle import ORACLE_SQL  # noqa: F401
 from blockweave.sources import network as S
 from blockweave.sources import geojson, result_cache
@@ -385,3 +385,21 @@ def detected_blocks(spark, d):
     edge = network.simple(network.boundary_edges(feats), F.col("length_m")).select("lo", "hi").union(strong).distinct()
     metres = F.col("area2") / 2 * 111320 * 111320 * F.cos(F.radians(F.lit(47.5)))
     return polygonize.faces(edge, nodes).where("area2 > 0").select("face_id", "n_edges", (metres / 10000).alias("area_ha")).where("area_ha between 1 and 25")
+
+
+@query
+def noded_diagonals(spark, d):
+    """Both diagonals of each block, split where they cross."""
+    n = S.nodes(spark, d)
+    at = lambda dx, dy, i: n.select((F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+    here = n.select("node_id", "cx", "cy", "x", "y")
+    up = here.join(at(1, 1, 2), ["cx", "cy"]).select((F.col("node_id") * 2).alias("seg_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+    down = here.join(at(1, 0, 1), ["cx", "cy"]).join(at(0, 1, 2), ["cx", "cy"]).select((F.col("node_id") * 2 + 1).alias("seg_id"), "x1", "y1", "x2", "y2")
+    return noding.split_at_crossings(up.unionByName(down)).select("seg_id", "piece", F.round("x1", 9).alias("x1"), F.round("y1", 9).alias("y1"))
+
+
+@query
+def merged_cells(spark, d):
+    """Cells of about 8 hectares, merged towards 16."""
+    areas = S.cells(spark, d).select("cell_id", G.utm_hectares(F.col("ring")).alias("ha"))
+    return cell_merge.merge_small(areas, cell_adjacency(spark, d), least=10.0, most=20.0, target=16.0)

@@ -102,3 +102,11 @@ ORACLE_SQL["cell_area_models"] = (
 h AS (SELECT *, c * c * pow(sin(radians(x1 - x0) / 2), 2) AS aw, pow(sin(radians(y1 - y0) / 2), 2) AS ah FROM w)
 SELECT cell_id, round(2 * 6371000.0::DOUBLE * atan2(sqrt(aw), sqrt(1 - aw)) * 2 * 6371000.0::DOUBLE * atan2(sqrt(ah), sqrt(1 - ah)) / 10000, 4) AS box_ha, round((x1 - x0) * (y1 - y0) * 111320 * 111320 * c / 10000, 4) AS approximate_ha FROM h"""
 )
+ORACLE_SQL["noded_diagonals"] = (
+    BASE
+    + """, up AS (SELECT a.node_id * 2 AS seg_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM nodes2 a JOIN nodes2 b ON b.cx = a.cx + 1 AND b.cy = a.cy + 1),
+down AS (SELECT a.node_id * 2 + 1 AS seg_id, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2 FROM nodes2 a JOIN nodes2 b ON b.cx = a.cx + 1 AND b.cy = a.cy JOIN nodes2 c ON c.cx = a.cx AND c.cy = a.cy + 1),
+al AS (SELECT *, seg_id // 2 AS block FROM up UNION ALL SELECT *, seg_id // 2 FROM down),
+two AS (SELECT block FROM al GROUP BY block HAVING count(*) = 2)
+SELECT seg_id, 1 AS piece, round(x1, 9) AS x1, round(y1, 9) AS y1 FROM al UNION ALL SELECT seg_id, 2, round((x1 + x2) / 2, 9), round((y1 + y2) / 2, 9) FROM al WHERE block IN (SELECT block FROM two)"""
+)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
 from blockweave.functions import roads as R
-from blockweave.operators import blocks, graphs, network, polygonize, routing, sizing
+from blockweave.operators import blocks, cell_merge, graphs, network, noding, polygonize, routing, sizing
 from blockweave.sources.result_cache import ResultCache
 from blockweave.streaming import traffic_stream
 
@@ -175,3 +175,35 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = traffic_stream.read_events(spark, "/root/testdata/sf0.001", events.schema)
     got = traffic_stream.run_to_table(traffic_stream.hourly_counts(stream), "hourly")
     assert {tuple(r) for r in got.collect()} == batch and batch
+
+
+def test_crossings_same_as_all_pairs(spark):
+    r = random.Random(3)
+    segs = [(k, r.random(), r.random(), r.random(), r.random()) for k in range(40)]
+    want = {k: 0 for k in range(40)}
+    for (i, ax, ay, bx, by), (j, cx, cy, dx, dy) in itertools.combinations(segs, 2):
+        side = lambda px, py, qx, qy, x, y: (qx - px) * (y - py) - (qy - py) * (x - px)
+        if side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0 and side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0:
+            want[i] += 1
+            want[j] += 1
+    got = noding.split_at_crossings(spark.createDataFrame(segs, "seg_id long, x1 double, y1 double, x2 double, y2 double"), 0.1).groupBy("seg_id").count().collect()
+    assert {r["seg_id"]: r["count"] - 1 for r in got} == want
+
+
+def test_thin_lines(spark):
+    line = [(float(k), 0.00001 * (k % 2)) for k in range(50)] + [(50.0, 5.0)]
+    df = spark.createDataFrame([([{"x": x, "y": y} for x, y in line],), (None,)], "line array<struct<x:double,y:double>>")
+    got = [r[0] for r in df.select(noding.simplify()(F.col("line"))).collect()]
+    assert len(got[0]) == 3 and got[1] is None
+
+
+def test_merging_keeps_the_whole(spark):
+    areas = spark.createDataFrame([(k, 4.0 + k % 3) for k in range(20)], "cell_id long, ha double")
+    beside = spark.createDataFrame([(k, k + 1) for k in range(19)], "a long, b long")
+    rows = cell_merge.merge_small(areas, beside, least=7.0, most=16.0, target=12.0).collect()
+    merged = {r["merged_id"]: r["ha"] for r in rows}
+    assert len(rows) == 20 and abs(sum(merged.values()) - sum(4.0 + k % 3 for k in range(20))) < 1e-9
+    assert max(merged.values()) <= 16 and len(merged) < 12
+    for r in rows:
+        members = [x["cell_id"] for x in rows if x["merged_id"] == r["merged_id"]]
+        assert members == list(range(min(members), max(members) + 1)) or sorted(members) == list(range(min(members), max(members) + 1))
