@@ -10,7 +10,8 @@ Defined results: a null text has no words, so it takes none.  A null source is a
 source of its own, last in order.  Repeated rows each count; rows of one key are
 ordered by id and size, so rows that tie are equal in what they take.  An empty
 table gives an empty result with the same columns.  Other columns are passed on
-by ``mix`` unless they have the name of a result column, which replaces them.
+by ``mix`` unless they have the name of a result column, which replaces them; there,
+rows of equal id and text get the largest share among them.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from blockweave.llm.common import read
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))).drop("longest_match")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,32 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken FROM e
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_mix_sources": _OP9}
+_OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bk AS (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS t FROM bk),
+dk AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+dw AS (SELECT r, k, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS t FROM dk, (SELECT DISTINCT size FROM win) WHERE k + size - 1 <= len(w)),
+hit AS (SELECT DISTINCT r, k, dw.size, item FROM dw JOIN win USING (size, t)),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
+
+_OP7 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+k AS (SELECT r, w, unnest(range(1, greatest(2, len(w)))) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, k, k + 1), ' ') AS t FROM k),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+sn AS (SELECT * FROM s JOIN n USING (r)),
+p AS (SELECT a.r AS a, b.r AS b, a.n AS an, b.n AS bn, count(*) AS c FROM sn a JOIN sn b ON a.t = b.t AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (an + bn - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+q AS (SELECT r AS a, r AS b FROM d UNION SELECT q.a, e.b FROM q JOIN e ON q.b = e.a),
+c AS (SELECT q.a AS r, min(d.doc_id) AS component_id FROM q JOIN d ON d.r = q.b GROUP BY q.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id, component_id IS NULL OR doc_id = component_id AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op7_near_dedup": _OP7, "op9_mix_sources": _OP9}
