@@ -94,7 +94,9 @@ class Tree:
             self.tag.append(name)
             self.parent.append(stack[-1])
             outer = self.drop[stack[-1]]
-            self.drop.append(outer or name in DROPPED or (name not in MAIN and name not in ("html", "body") and is_part(attrs)))
+            # Articles that hold the text may have any class, but not those inside another one.
+            whole = name in ("html", "body") or (name in MAIN and not any(self.tag[k] in MAIN for k in stack))
+            self.drop.append(outer or name in DROPPED or (not whole and is_part(attrs)))
             if name not in INLINE:
                 self.pieces.append((node, None))
             if name in RAW:

@@ -26,6 +26,11 @@ def test_page_without_semantic_elements():
     assert text.count("paragraph") == 72 and "Go to" not in text and "terms" not in text
 
 
+def test_comments_inside_the_article():
+    assert H.extract('<main class="ad-free-site"><article class="post"><p>Own text</p><article class="comment"><p>Reply</p></article></article></main>') == "Own text"
+    assert H.extract('<article class="comments-open"><p>Own text</p></article><div id="comments"><article>Reply that is much longer than the text itself, by far</article></div>') == "Own text"
+
+
 def test_odd_pages():
     assert H.extract(None) == H.extract("") == H.extract("<html><body></body></html>") == ""
     assert H.extract("just  words &lt;b&gt;") == "just words <b>"
