@@ -403,3 +403,39 @@ def merged_cells(spark, d):
     """Cells of about 8 hectares, merged towards 16."""
     areas = S.cells(spark, d).select("cell_id", G.utm_hectares(F.col("ring")).alias("ha"))
     return cell_merge.merge_small(areas, cell_adjacency(spark, d), least=10.0, most=20.0, target=16.0)
+
+
+@query
+def top_cells(spark, d):
+    return cell_simple_scores(spark, d).orderBy(F.desc("score"), "cell_id").limit(20)
+
+
+@query
+def street_status(spark, d):
+    """What a map shows first of each street: a planned change, perimeter, interior, or its class."""
+    role = _links(spark, d).groupBy("u", "v", "key").agg(F.max((F.col("role") == "boundary").cast("int")).alias("edge"))
+    e = _features(spark, d).withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")})
+    e = e.join(_planned(spark, d), ["lo", "hi"], "left").join(role, ["u", "v", "key"], "left")
+    status = F.coalesce("kind", F.when(F.col("edge") == 1, "perimeter").when(F.col("edge") == 0, "interior"), "highway")
+    return e.select("u", "v", "key", status.alias("status"))
+
+
+@query
+def arterial_ids(spark, d):
+    return network.arterial_edges(_features(spark, d)).select("osmid").distinct()
+
+
+@query
+def change_counts(spark, d):
+    return _planned(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query
+def sector_suggestions(spark, d):
+    return S.cells(spark, d).select("cell_id", sizing.sector_count(G.approximate_hectares(F.col("ring"))).alias("sectors"))
+
+
+@query
+def stages_of_events(spark, d):
+    kinds = F.element_at(F.array(*[F.lit(s) for s in display.STAGES]), (F.col("event_id") % 6 + 1).cast("int"))
+    return S.table(spark, d, "events").groupBy(display.stage_number(kinds).alias("step")).agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))

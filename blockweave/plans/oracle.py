@@ -110,3 +110,13 @@ al AS (SELECT *, seg_id // 2 AS block FROM up UNION ALL SELECT *, seg_id // 2 FR
 two AS (SELECT block FROM al GROUP BY block HAVING count(*) = 2)
 SELECT seg_id, 1 AS piece, round(x1, 9) AS x1, round(y1, 9) AS y1 FROM al UNION ALL SELECT seg_id, 2, round((x1 + x2) / 2, 9), round((y1 + y2) / 2, 9) FROM al WHERE block IN (SELECT block FROM two)"""
 )
+ORACLE_SQL["top_cells"] = "SELECT * FROM (" + ORACLE_SQL["cell_simple_scores"] + ") ORDER BY score DESC, cell_id LIMIT 20"
+ORACLE_SQL["street_status"] = (
+    BASE
+    + """, r AS (SELECT u, v, key, max(CASE WHEN role = 'boundary' THEN 1 ELSE 0 END) AS edge FROM links GROUP BY 1, 2, 3)
+SELECT u, v, key, CASE WHEN least(u, v) % 7 = 0 THEN 'modal_filter' WHEN least(u, v) % 11 = 0 THEN 'one_way' WHEN edge = 1 THEN 'perimeter' WHEN edge = 0 THEN 'interior' ELSE highway END AS status FROM f LEFT JOIN r USING (u, v, key)"""
+)
+ORACLE_SQL["arterial_ids"] = BASE + "SELECT DISTINCT osmid FROM f WHERE highway IN ('primary', 'secondary', 'tertiary')"
+ORACLE_SQL["change_counts"] = BASE + "SELECT CASE WHEN lo % 7 = 0 THEN 'modal_filter' ELSE 'one_way' END AS kind, count(*) AS n FROM simple WHERE lo % 7 = 0 OR lo % 11 = 0 GROUP BY 1"
+ORACLE_SQL["sector_suggestions"] = BASE + ", a AS (SELECT cell_id, (x1 - x0) * (y1 - y0) * 111320 * 111320 * cos(radians((y0 + y1) / 2)) / 10000 AS ha FROM cells) SELECT cell_id, CASE WHEN ha < 6 THEN 3 WHEN ha < 20 THEN 4 WHEN ha < 30 THEN 6 ELSE 8 END AS sectors FROM a"
+ORACLE_SQL["stages_of_events"] = "SELECT CAST(event_id % 6 + 1 AS INTEGER) AS step, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY 1"
