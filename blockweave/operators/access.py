@@ -86,3 +86,48 @@ def city_totals(areas: DataFrame, changes: DataFrame, lost: DataFrame) -> DataFr
     parts = parts.unionByName(changes.select(F.lit(0.0).alias("area_ha"), (F.col("kind") == "modal_filter").cast("int").alias("f"), (F.col("kind") == "one_way").cast("int").alias("o"), F.lit(0).alias("l"), F.lit(0).alias("c")))
     parts = parts.unionByName(lost.select(F.lit(0.0).alias("area_ha"), F.lit(0).alias("f"), F.lit(0).alias("o"), F.lit(1).alias("l"), F.lit(0).alias("c")))
     return parts.agg(F.sum("c").alias("cells"), F.round(F.sum("area_ha"), 2).alias("area_ha"), F.sum("f").alias("modal_filters"), F.sum("o").alias("one_way"), F.sum("l").alias("unreachable"))
+
+
+def _reach(start: int, arcs: dict[int, set[int]]) -> set[int]:
+    seen, todo = {start}, [start]
+    while todo:
+        for w in arcs.get(todo.pop(), ()):
+            if w not in seen:
+                seen.add(w)
+                todo.append(w)
+    return seen - {start}
+
+
+def direction_score(arcs: dict[int, set[int]], sectors: dict[int, int], penalty: int = 1000) -> int:
+    """Nodes that entries reach, less a penalty for each entry of another sector that they reach."""
+    total = 0
+    for door, sector in sectors.items():
+        found = _reach(door, arcs)
+        total += len(found) - penalty * sum(sectors.get(v, sector) != sector for v in found)
+    return total
+
+
+def one_way_directions(links: DataFrame, sectors: DataFrame, changes: DataFrame) -> DataFrame:
+    """(cell_id, lo, hi) of one-way streets -> the direction with the better score; lo to hi of equals.
+
+    A cell's streets are one group; its size is bounded by the cell's.
+    """
+    none = F.lit(None).cast("int")
+    rows = links.where("role = 'interior'").select("cell_id", "u", "v", F.lit("arc").alias("what"), none.alias("sector"))
+    rows = rows.unionByName(changes.select("cell_id", F.col("lo").alias("u"), F.col("hi").alias("v"), F.lit("one_way").alias("what"), none.alias("sector")).distinct())
+    rows = rows.unionByName(sectors.select("cell_id", F.col("node_id").alias("u"), F.lit(None).cast("long").alias("v"), F.lit("door").alias("what"), "sector"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        arcs: dict[int, set[int]] = {}
+        for u, v in pdf.loc[pdf["what"] == "arc", ["u", "v"]].itertuples(index=False):
+            arcs.setdefault(int(u), set()).add(int(v))
+        doors = {int(u): int(s) for u, s in pdf.loc[pdf["what"] == "door", ["u", "sector"]].itertuples(index=False)}
+        out = []
+        for lo, hi in pdf.loc[pdf["what"] == "one_way", ["u", "v"]].itertuples(index=False):
+            a, b = int(lo), int(hi)
+            without = lambda x, y: {k: w - {y} if k == x else w for k, w in arcs.items()}
+            there, back = direction_score(without(b, a), doors), direction_score(without(a, b), doors)
+            out.append((int(pdf["cell_id"].iloc[0]), a, b, "lo_to_hi" if there >= back else "hi_to_lo", max(there, back)))
+        return pd.DataFrame(out, columns=["cell_id", "lo", "hi", "direction", "score"])
+
+    return rows.groupBy("cell_id").applyInPandas(solve, "cell_id long, lo long, hi long, direction string, score long")

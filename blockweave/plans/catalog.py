@@ -439,3 +439,11 @@ def sector_suggestions(spark, d):
 def stages_of_events(spark, d):
     kinds = F.element_at(F.array(*[F.lit(s) for s in display.STAGES]), (F.col("event_id") % 6 + 1).cast("int"))
     return S.table(spark, d, "events").groupBy(display.stage_number(kinds).alias("step")).agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
+
+
+@query
+def one_way_directions(spark, d):
+    """Directions for the inner streets whose lower node is divisible by 5."""
+    links = _links(spark, d)
+    some = links.where("role = 'interior'").select("cell_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).where("lo % 5 = 0")
+    return access.one_way_directions(links, cell_sectors(spark, d), some)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
 from blockweave.functions import roads as R
-from blockweave.operators import blocks, cell_merge, graphs, network, noding, polygonize, routing, sizing
+from blockweave.operators import access, blocks, cell_merge, graphs, network, noding, polygonize, routing, sizing
 from blockweave.sources.result_cache import ResultCache
 from blockweave.streaming import traffic_stream
 
@@ -207,3 +207,16 @@ def test_merging_keeps_the_whole(spark):
     for r in rows:
         members = [x["cell_id"] for x in rows if x["merged_id"] == r["merged_id"]]
         assert members == list(range(min(members), max(members) + 1)) or sorted(members) == list(range(min(members), max(members) + 1))
+
+
+def test_one_way_direction_keeps_sectors_apart(spark):
+    # Door 0 (sector 0) - 1 - 2 - 3 door (sector 1); a spur 1 - 4 - 5 hangs on the first half.
+    pairs = [(0, 1), (1, 2), (2, 3), (1, 4), (4, 5)]
+    links = spark.createDataFrame([(7, a, b, 0, "interior") for x, y in pairs for a, b in ((x, y), (y, x))], "cell_id long, u long, v long, key int, role string")
+    sectors = spark.createDataFrame([(7, 0, 0), (7, 3, 1)], "cell_id long, node_id long, sector int")
+    changes = spark.createDataFrame([(7, 1, 2)], "cell_id long, lo long, hi long")
+    row = access.one_way_directions(links, sectors, changes).first()
+    # Either way one door reaches the other; from 3 more nodes are reached against the arrow of lo to hi.
+    arcs = {0: {1}, 1: {0, 4}, 2: {1, 3}, 3: {2}, 4: {1, 5}, 5: {4}}
+    assert (row["direction"], row["score"]) == ("hi_to_lo", access.direction_score(arcs, {0: 0, 3: 1}))
+    assert access.direction_score({0: {1}}, {0: 0, 3: 1}) == 1
