@@ -7,12 +7,13 @@ host's documents.  A document is rejected if it fails the base rules or if,
 without its boilerplate lines, less than ``min_left`` of its word characters is
 left.
 
-Documents count as distinct by what stands beside the line: of each document, the
-smallest hash among its other lines.  Copies and near copies of one document, which
-share all their lines, therefore count about once, and are left to the
-near-duplicate stage; a footer under unrelated documents counts once for each.
+Documents count as distinct by their whole set of lines, of which each has one hash.
+Copies of one document, whose lines are all equal after normalisation, therefore count
+once and are left to the near-duplicate stage; a document with a line of its own counts
+for each of its lines, however many of them it shares.  A near copy with an edited line
+is such a document.
 
-Only line hashes are shuffled.  Distinct (host, line, neighbour) triples are formed
+Only line hashes are shuffled.  Distinct (host, line, set) triples are formed
 before lines are counted, so that a line of a third of all documents is spread over
 all tasks; frequent lines come back to the documents by a join salted by row.
 
@@ -98,18 +99,18 @@ def measure(text: str | None) -> tuple:
 
 
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lines = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("beside", pa.int64())]))
+    lines = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))
     for batch in batches:
         made = [measure(t) for t in batch.column("text").to_pylist()]
-        listed = []
+        listed, wholes = [], []
         for *_, hashes, sizes in made:
-            low = sorted(set(hashes))[:2]
             total: dict[int, int] = {}
             for h, c in zip(hashes, sizes, strict=True):
                 total[h] = total.get(h, 0) + c
-            listed.append([{"h": h, "c": c, "beside": (low[0] if h != low[0] else low[1] if len(low) > 1 else 0)} for h, c in total.items()])
+            listed.append([{"h": h, "c": c} for h, c in total.items()])
+            wholes.append(xxhash.xxh3_64_intdigest(np.array(sorted(total), np.int64).tobytes()) - (1 << 63))
         cols = [pa.array([m[k] for m in made], pa.int64()) for k in range(5)]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "doc_id", "host")] + cols + [pa.array(listed, lines)], names=["key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "doc_id", "host")] + cols + [pa.array(wholes, pa.int64()), pa.array(listed, lines)], names=["key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "whole", "lines"])
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -119,22 +120,22 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
 
 def _frequent(measured: DataFrame, max_docs: int, max_share: float) -> tuple[DataFrame, DataFrame]:
     """Lines of each row, and (host, h) of the lines above the limits."""
-    rows = measured.select("rid", "host", F.explode("lines").alias("l")).select("rid", "host", "l.h", "l.c", "l.beside")
+    rows = measured.select("rid", "host", "whole", F.explode("lines").alias("l")).select("rid", "host", "whole", "l.h", "l.c")
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = rows.groupBy("host", "h", "beside").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+    counts = rows.groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
     return rows, counts.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * F.lit(float(max_share))).select("host", "h", "docs")
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The measures of every row with boilerplate_chars, base_failed and kept; ``key`` joins back to the documents."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"key long, doc_id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,c:long,beside:long>>"
+    schema = f"key long, doc_id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, whole long, lines array<struct<h:long,c:long>>"
     measured = cut(_slim(docs, id_col, text_col, host_col).mapInArrow(_measures, schema)).withColumn("rid", F.monotonically_increasing_id())
     rows, frequent = _frequent(measured, max_docs, max_share)
     salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
     removed = rows.join(salted, ["host", "h", "salt"]).groupBy("rid").agg(F.sum("c").alias("boilerplate_chars"), F.sort_array(F.collect_list("h")).alias("boilerplate"))
-    out = measured.drop("lines").join(removed, "rid", "left").withColumn("boilerplate_chars", F.coalesce("boilerplate_chars", F.lit(0)))
+    out = measured.drop("lines", "whole").join(removed, "rid", "left").withColumn("boilerplate_chars", F.coalesce("boilerplate_chars", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     depleted = (F.col("word_chars") - F.col("boilerplate_chars")) < F.col("word_chars") * F.lit(float(min_left))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("rid")

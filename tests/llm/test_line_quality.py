@@ -68,3 +68,10 @@ def test_hosts_are_apart(spark):
     b = docs(spark, [(100 + k, f"{own(50 + k)}\nshared line here") for k in range(8)], source="b")
     assert Q.judge(a.union(b)).where("boilerplate_chars > 0").count() == 0
     assert Q.judge(a.union(b), host_col="lang").where("boilerplate_chars > 0").count() == 16
+
+
+def test_each_of_several_shared_lines_is_counted_in_all_documents(spark):
+    shared = [" ".join(f"licence {name(m)} {name(j)}" for j in range(8)) for m in range(10)]
+    texts = ["\n".join([*shared, own(k)]) for k in range(40)]
+    want = sum(len(x.replace(" ", "")) for x in shared)
+    assert {r["boilerplate_chars"] for r in Q.judge(docs(spark, texts)).collect()} == {want}
