@@ -209,6 +209,19 @@ def test_merging_keeps_the_whole(spark):
         assert members == list(range(min(members), max(members) + 1)) or sorted(members) == list(range(min(members), max(members) + 1))
 
 
+def test_merging_ends_only_when_no_pair_is_left(spark):
+    # Areas change steadily over the grid, so each cell prefers the same side.
+    n, least, most = 24, 10.0, 20.0
+    areas = spark.createDataFrame([(x * n + y, 7.0 + (x * n + y) / 1024) for x in range(n) for y in range(n)], "cell_id long, ha double")
+    pairs = [(x * n + y, (x + i) * n + y + j) for x in range(n) for y in range(n) for i, j in ((0, 1), (1, 0)) if x + i < n and y + j < n]
+    rows = cell_merge.merge_small(areas, spark.createDataFrame(pairs, "a long, b long"), least=least, most=most, target=16.0).collect()
+    ha, merged = {r["merged_id"]: r["ha"] for r in rows}, {r["cell_id"]: r["merged_id"] for r in rows}
+    assert len(rows) == n * n and abs(sum(ha.values()) - sum(7.0 + k / 1024 for k in range(n * n))) < 1e-6
+    for a, b in pairs:
+        x, y = merged[a], merged[b]
+        assert x == y or min(ha[x], ha[y]) >= least or ha[x] + ha[y] > most
+
+
 def test_one_way_direction_keeps_sectors_apart(spark):
     # Door 0 (sector 0) - 1 - 2 - 3 door (sector 1); a spur 1 - 4 - 5 hangs on the first half.
     pairs = [(0, 1), (1, 2), (2, 3), (1, 4), (4, 5)]
