@@ -213,7 +213,7 @@ def _beside_centre(members: DataFrame, star: DataFrame, sets: DataFrame, labels:
     """Further labels from the buckets that hold several components after the star.
 
     A component's centre is the elements that half of its nodes have: of edited copies,
-    about their original.  In each bucket the member next to the centre of the largest
+    about their original; its first node where no element reaches half.  In each bucket the member next to the centre of the largest
     component is compared with all others; then pairs that are still apart are formed,
     unless a bound forbids the link.
     """
@@ -229,6 +229,9 @@ def _beside_centre(members: DataFrame, star: DataFrame, sets: DataFrame, labels:
     sizes = cut(some.groupBy("label").agg(F.count("*").alias("size"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTNERS - 1))))
     half = items.withColumn("salt", F.pmod("item", F.lit(PARTNERS)).cast("int")).join(sizes, ["label", "salt"]).where("2 * c >= size")
     centres = cut(half.groupBy(F.col("label").alias("node")).agg(F.collect_list("item").alias("items")))
+    # Texts of a component that drifts may share no element; any set of elements serves as centre.
+    first = some.join(centres.select(F.col("node").alias("label")), "label", "left_anti").groupBy("label").agg(F.min_by("items", "node").alias("items"))
+    centres = cut(centres.union(first.select(F.col("label").alias("node"), "items")))
     known = _verified(cut(place.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), sets, percent, centres)
     distance = known.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("total")).alias("d"))
     place = cut(place.join(distance, ["centre", "node"]).select("bucket", "node", "n", "d"))

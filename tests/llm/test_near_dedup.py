@@ -96,3 +96,17 @@ def test_one_of_each_group_stays(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {(r[0], r[1]) for r in components(edges).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_component_without_a_common_element_keeps_its_buckets_members(spark):
+    # A chain that drifts over its whole length is the largest component; star and centre aren't enough for one more pair.
+    words = [f"w{k}" for k in range(1200)]
+    texts = {k: words[20 * k : 20 * k + 201] for k in range(40)} | {100: [f"v{k}" for k in range(201)], 101: [f"v{k}" for k in range(10, 211)]}
+    sets = {k: N.shingle_set(" ".join(w), 2, N._Hashes()) for k, w in texts.items()}
+    rows = [(1, k, len(s)) for k, s in sets.items()]
+    members = spark.createDataFrame(rows, "bucket long, node long, n long")
+    full = spark.createDataFrame([(k, s.view("int64").tolist(), N.parity(s).tolist()) for k, s in sets.items()], "node long, items array<long>, parity array<long>")
+    star = spark.createDataFrame([], "a long, b long, linked boolean")
+    labels = spark.createDataFrame([(k, 0) for k in range(40)], "node long, label long")
+    got = {r["node"]: r["label"] for r in N._beside_centre(members, star, full, labels, 80).collect()}
+    assert got[100] == got[101] and got[0] == 0
