@@ -190,7 +190,7 @@ def size_recommendation(spark, d):
 @query
 def edge_betweenness(spark, d):
     simple = _simple(spark, d)
-    return graphs.betweenness(simple, 200)
+    return graphs.betweenness(simple, graphs.analysis_pivots)
 
 
 @query
@@ -379,12 +379,12 @@ def sliding_traffic(spark, d):
 def detected_blocks(spark, d):
     """Faces of the streets that are important or central enough, inside the area window."""
     feats, nodes = _features(spark, d), S.nodes(spark, d)
-    central = graphs.betweenness(_simple(spark, d), 100)
-    least = network.index_percentile(central, "centrality", 99).select(F.col("value").alias("least"))
+    central = graphs.betweenness(_simple(spark, d), graphs.analysis_pivots)
+    least = network.index_percentile(central, "centrality", 70).select(F.col("value").alias("least"))
     strong = central.join(F.broadcast(least), F.col("centrality") >= F.col("least"), "left_semi").select("lo", "hi")  # one row
     edge = network.simple(network.boundary_edges(feats), F.col("length_m")).select("lo", "hi").union(strong).distinct()
     metres = F.col("area2") / 2 * 111320 * 111320 * F.cos(F.radians(F.lit(47.5)))
-    return polygonize.faces(edge, nodes).where("area2 > 0").select("face_id", "n_edges", (metres / 10000).alias("area_ha")).where("area_ha between 1 and 25")
+    return polygonize.faces(edge, nodes).where("area2 > 0").select("face_id", "n_edges", (metres / 10000).alias("area_ha")).where("area_ha between 4 and 25")
 
 
 @query

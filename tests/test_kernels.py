@@ -66,6 +66,16 @@ def test_betweenness_of_a_path(spark):
         graphs.betweenness(spark.createDataFrame([(0, 1, 1.0)], "lo long, hi long, length double"), most_links=0)
 
 
+def test_sources_of_betweenness_grow_with_the_network():
+    assert [graphs.analysis_pivots(n) for n in (3, 2499, 2500, 6000, 20_000)] == [None, None, 250, 600, 800]
+
+
+def test_betweenness_asks_for_sources_by_nodes(spark):
+    links = spark.createDataFrame([(k, k + 1, 1.0) for k in range(300)], "lo long, hi long, length double")
+    got = {r[0]: r[2] for r in graphs.betweenness(links, graphs.analysis_pivots).collect()}
+    assert all(abs(got[k] - (k + 1) * (300 - k) / (301 * 150)) < 1e-9 for k in range(300))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_min_cut_same_as_all_subsets(seed):
     links = random_links(seed, 6, 9)
