@@ -2,8 +2,8 @@
 
 Each text is measured once (words, symbols, repeated lines and three-word
 windows) and its lines are normalised and hashed.  A line is boilerplate of its
-host if it stands in more than ``max_docs`` and more than ``max_share`` of the
-host's documents.  A document is rejected if it fails the base rules or if,
+host if it stands in more than ``max_docs`` of the host's documents, however many the
+host has.  A document is rejected if it fails the base rules or if,
 without its boilerplate lines, less than ``min_left`` of its word characters is
 left.
 
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from blockweave.llm.common import cut, text_key
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-MAX_DOCS, MAX_SHARE, MIN_LEFT = 10, 0.01, 0.2
+MAX_DOCS, MIN_LEFT = 10, 0.2
 #: Copies of the table of frequent lines; each document line meets one of them.
 SALTS = 32
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -118,20 +118,19 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     return docs.select(text_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.concat(F.lit("="), F.col(host_col).cast("string")).alias("host"), F.col(text_col).alias("text")).withColumn("host", F.coalesce("host", F.lit("")))
 
 
-def _frequent(measured: DataFrame, max_docs: int, max_share: float) -> tuple[DataFrame, DataFrame]:
-    """Lines of each row, and (host, h) of the lines above the limits."""
+def _frequent(measured: DataFrame, max_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Lines of each row, and (host, h) of the lines above the limit."""
     rows = measured.select("rid", "host", "whole", F.explode("lines").alias("l")).select("rid", "host", "whole", "l.h", "l.c")
-    hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
     counts = rows.groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
-    return rows, counts.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * F.lit(float(max_share))).select("host", "h", "docs")
+    return rows, counts
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The measures of every row with boilerplate_chars, base_failed and kept; ``key`` joins back to the documents."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"key long, doc_id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, whole long, lines array<struct<h:long,c:long>>"
     measured = cut(_slim(docs, id_col, text_col, host_col).mapInArrow(_measures, schema)).withColumn("rid", F.monotonically_increasing_id())
-    rows, frequent = _frequent(measured, max_docs, max_share)
+    rows, frequent = _frequent(measured, max_docs)
     salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
     removed = rows.join(salted, ["host", "h", "salt"]).groupBy("rid").agg(F.sum("c").alias("boilerplate_chars"), F.sort_array(F.collect_list("h")).alias("boilerplate"))

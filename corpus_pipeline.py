@@ -10,14 +10,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockweave.llm import decontaminate, line_quality, mixing, near_dedup, secrets
 from blockweave.llm.common import checkpoint_folder, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are depleted by lines that many documents of their host share, go."""
-    return line_quality.keep_good(docs)
+    """Documents that fail the base rules, or are depleted by lines that many documents of their host share, go; such lines go from the others."""
+    return line_quality.clean(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

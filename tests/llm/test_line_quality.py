@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import corpus_pipeline as P
 from blockweave.llm import line_quality as Q
 from blockweave.llm import registry
 from tests.llm.helpers import SAMPLE, docs
@@ -75,3 +76,12 @@ def test_each_of_several_shared_lines_is_counted_in_all_documents(spark):
     texts = ["\n".join([*shared, own(k)]) for k in range(40)]
     want = sum(len(x.replace(" ", "")) for x in shared)
     assert {r["boilerplate_chars"] for r in Q.judge(docs(spark, texts)).collect()} == {want}
+
+
+def test_a_large_host_has_no_higher_limit(spark):
+    footer = " ".join(f"terms {name(j)}" for j in range(40))
+    texts = [f"{own(k)}\n{footer}" for k in range(12)] + [f"text {name(k)} alone" for k in range(1500)]
+    assert Q.judge(docs(spark, texts)).where("boilerplate_chars > 0").count() == 12
+    kept = P.quality_rules(spark, docs(spark, texts), "").collect()
+    assert sorted(r["text"] for r in kept) == sorted(own(k) for k in range(12))
+    assert all(r["n_chars"] == len(r["text"]) for r in kept)
