@@ -3,8 +3,9 @@
 The lexicon is learned: words that labelled toxic documents have far more often than
 others.  It is held as a trie, and the Levenshtein automaton of a word runs through
 the trie together with it; the product is made deterministic as it is used, so that a
-word costs one step a letter and most leave the lexicon after a few.  Short terms
-allow one edit, long ones two.
+word costs one step a letter and most leave the lexicon after a few.  Terms of
+three letters are matched exactly, those of four to eight allow one edit, longer ones two;
+words of several documents that aren't toxic aren't misspellings of a term of four.
 
 Each match is weighed by what stands around it: quotation marks that enclose it and
 words of reporting or mentioning within ``AROUND`` words lower the weight, address of
@@ -50,9 +51,9 @@ OPENING, CLOSING, EITHER = "«„“‹", "»”›", "\"'"
 class LexiconAutomaton:
     """Distance of a word to the nearest lexicon term, with the edits that the term's length allows."""
 
-    def __init__(self, terms: dict[str, float], memory: int = 200_000, trust: dict[str, float] | None = None):
+    def __init__(self, terms: dict[str, float], memory: int = 200_000, trust: dict[str, float] | None = None, plain: frozenset[str] = frozenset()):
         self.weights, self.trust = dict(terms), trust or {}
-        self.memory = memory
+        self.memory, self.plain = memory, plain
         self._fresh()
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
@@ -72,20 +73,20 @@ class LexiconAutomaton:
             self.term[node] = t
 
     def __getstate__(self):
-        return self.weights, self.memory, self.trust
+        return self.weights, self.memory, self.trust, self.plain
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     @staticmethod
     def edits(term: str) -> int:
-        return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+        return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
     def _fresh(self) -> None:
         self.steps: list[dict[str, int]] = [{}]
         self.states: list[dict[int, int] | None] = [None]
         self.number: dict[frozenset, int] = {}
-        self.ends: list[tuple[str, int] | None | bool] = [False]
+        self.ends: list[list[tuple[int, str]]] = [[]]
         self.found: dict[str, tuple[str, int] | None] = {}
 
     def _state(self, places: dict[int, int]) -> int:
@@ -107,9 +108,7 @@ class LexiconAutomaton:
             number = self.number[key] = len(self.states)
             self.states.append(places)
             self.steps.append({})
-            ends = [(e, self.term[n]) for n, e in places.items() if self.term[n] is not None and e <= self.edits(self.term[n])]
-            best = min(ends, default=None)
-            self.ends.append(best and (best[1], best[0]))
+            self.ends.append(sorted((e, self.term[n]) for n, e in places.items() if self.term[n] is not None and e <= self.edits(self.term[n])))
         return number
 
     def _step(self, state: int, c: str) -> int:
@@ -137,7 +136,8 @@ class LexiconAutomaton:
             state = steps.get(c) or steps.setdefault(c, self._step(state, c))
             if state < 0:
                 break
-        hit = self.found[word] = self.ends[state] if state > 0 else None
+        ends = self.ends[state] if state > 0 else []
+        hit = self.found[word] = next(((t, e) for e, t in ends if not (e and len(t) < 5 and word in self.plain)), None)
         return hit
 
 
@@ -154,13 +154,16 @@ def learn_lexicon(texts: list[str], toxic: list[int], max_terms: int = MAX_TERMS
 
 def with_trust(lexicon: LexiconAutomaton, texts: list[str], toxic: list[int]) -> LexiconAutomaton:
     """The lexicon with a weight from 0 to 1 for misspellings of each term: the odds of its near matches against its own."""
+    known = Counter(w for t, y in zip(texts, toxic, strict=True) if not y for w in set(WORD.findall(t.lower())) if 3 <= len(w) <= 5)
+    plain = frozenset(w for w, k in known.items() if k >= 3)
+    lexicon = LexiconAutomaton(lexicon.weights, lexicon.memory, plain=plain)
     inside, outside = Counter(), Counter()
     for t, y in zip(texts, toxic, strict=True):
         hits = (lexicon.match(w) for w in set(WORD.findall(t.lower())))
         (inside if y else outside).update({m[0] for m in hits if m and m[1]})
     n, m = sum(toxic), len(toxic) - sum(toxic)
     near = {t: log((inside[t] + 0.5) / (n + 1)) - log((outside[t] + 0.5) / (m + 1)) for t in inside | outside}
-    return LexiconAutomaton(lexicon.weights, lexicon.memory, {t: max(0.0, min(1.0, o / lexicon.weights[t])) for t, o in near.items()})
+    return LexiconAutomaton(lexicon.weights, lexicon.memory, {t: max(0.0, min(1.0, o / lexicon.weights[t])) for t, o in near.items()}, plain)
 
 
 def context_weight(text: str, words: list[str], spans: list[tuple[int, int]], k: int) -> float:

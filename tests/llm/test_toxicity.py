@@ -62,3 +62,10 @@ def test_odd_tables(spark):
     assert X.train(some, labels.limit(0)) is None
     assert {r["score"] for r in X.score(some, None).collect()} == {0.0}
     assert X.score(some.limit(0), model).count() == 0
+
+
+def test_misspelt_terms_of_four_letters():
+    texts = [f"you are scum and more {k}" for k in range(40)] + [f"some fine words {k}" for k in range(40)] + [f"the scam was told {k}" for k in range(40)]
+    lexicon = X.with_trust(X.LexiconAutomaton({"scum": 5.0}), texts, [1] * 40 + [0] * 80)
+    assert [lexicon.match(w) for w in ("scum", "scvm", "scumm", "scm", "scam")] == [("scum", 0), ("scum", 1), ("scum", 1), ("scum", 1), None]
+    assert X.features("you scvm", lexicon)[1] > 0 == X.features("a scam", lexicon)[1]
