@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,11 +28,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def hops(arcs: DataFrame, starts: DataFrame, most: int) -> DataFrame:
-    """(u, v) and (node) -> (node, hops): directed distance from the nearest start, up to a number of hops."""
+def hops(arcs: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(u, v) and (node) -> (node, hops): directed distance from the nearest start, up to a number of hops or to the end."""
     seen = cut(starts.select("node").distinct().withColumn("hops", F.lit(0)))
     edge = seen
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         step = edge.join(arcs.select(F.col("u").alias("node"), "v"), "node").select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
         edge = cut(step.withColumn("hops", F.lit(k)))
         if not edge.limit(1).count():
@@ -42,8 +43,8 @@ def hops(arcs: DataFrame, starts: DataFrame, most: int) -> DataFrame:
 
 def _brandes(source: int, beside: dict[int, list[tuple[int, float]]]) -> dict[tuple[int, int], float]:
     """Shares of shortest paths from a source over each undirected edge."""
-    done, count, before, order = {}, defaultdict(float), defaultdict(list), []
-    count[source], best, heap = 1.0, {source: 0.0}, [(0.0, source)]
+    done, ways, before, order = {}, defaultdict(float), defaultdict(list), []
+    ways[source], best, heap = 1.0, {source: 0.0}, [(0.0, source)]
     while heap:
         d, v = heapq.heappop(heap)
         if v in done:
@@ -53,15 +54,15 @@ def _brandes(source: int, beside: dict[int, list[tuple[int, float]]]) -> dict[tu
         for w, length in beside[v]:
             far = d + length
             if w not in done and far < best.get(w, float("inf")):
-                best[w], count[w], before[w] = far, count[v], [v]
+                best[w], ways[w], before[w] = far, ways[v], [v]
                 heapq.heappush(heap, (far, w))
             elif w not in done and far == best[w]:
-                count[w] += count[v]
+                ways[w] += ways[v]
                 before[w].append(v)
     need, out = defaultdict(float), {}
     for w in reversed(order):
         for v in before[w]:
-            share = count[v] / count[w] * (1 + need[w])
+            share = ways[v] / ways[w] * (1 + need[w])
             need[v] += share
             out[min(v, w), max(v, w)] = share
     return out

@@ -205,6 +205,12 @@ def component_reach(spark, d):
     return graphs.hops(arcs, S.nodes(spark, d).where("cx = 0 and cy = 0").select(F.col("node_id").alias("node")), 6)
 
 
+@query
+def entry_reach(spark, d):
+    """Directed hops from the nearest entry of any cell, of all nodes that entries reach."""
+    return graphs.hops(S.edges(spark, d).select("u", "v").distinct(), cell_entries(spark, d).select(F.col("node_id").alias("node")))
+
+
 @query
 def block_faces(spark, d):
     arterial = network.arterial_edges(_features(spark, d))
@@ -443,7 +449,7 @@ def stages_of_events(spark, d):
 
 @query
 def one_way_directions(spark, d):
-    """Directions for the inner streets whose lower node is divisible by 5."""
+    """Directions for all inner streets."""
     links = _links(spark, d)
-    some = links.where("role = 'interior'").select("cell_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).where("lo % 5 = 0")
-    return access.one_way_directions(links, cell_sectors(spark, d), some)
+    inner = links.where("role = 'interior'").select("cell_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
+    return access.one_way_directions(links, cell_sectors(spark, d), inner)

@@ -39,3 +39,17 @@ def test_other_queries_have_rows(spark, name):
     rows = QUERIES[name](spark, SF).count()
     # Changes are there to leave no violation.
     assert rows == 0 if name == "cell_violations_after_changes" else rows > 0
+
+
+def test_directions_for_all_inner_streets(spark):
+    inner = QUERIES["cell_edges"](spark, SF).where("role = 'interior'").selectExpr("cell_id", "least(u, v) as lo", "greatest(u, v) as hi").distinct().count()
+    assert QUERIES["one_way_directions"](spark, SF).count() == inner > 0
+
+
+def test_reach_runs_until_nothing_is_new(spark):
+    edges = {(r[0], r[1]) for r in QUERIES["network_features"](spark, SF).select("u", "v").collect()}
+    seen = {r[0] for r in QUERIES["cell_entries"](spark, SF).select("node_id").collect()}
+    while new := {v for u, v in edges if u in seen} - seen:
+        seen |= new
+    rows = QUERIES["entry_reach"](spark, SF).collect()
+    assert {r["node"] for r in rows} == seen and len(rows) == len(seen)
