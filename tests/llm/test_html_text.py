@@ -50,6 +50,42 @@ def test_whole_article_of_every_sample_page(spark):
         assert r["text"] == want and r["n_chars"] == len(r["text"])
 
 
+def bare(html):
+    """The page with all its parts as div, without any name."""
+    html = re.sub(r"<(/?)(?:nav|article|footer|header|aside|main|section)\b", r"<\1div", html)
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', "", html)
+
+
+def test_names_of_parts_are_not_needed(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert sum(H.extract(bare(h)) == H.extract(h) for h in pages) >= 0.96 * len(pages)
+
+
+def test_densities_decide(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{SAMPLE}/pages.parquet").collect()]
+    texts = [H.extract(h) for h in pages]
+    monkeypatch.setattr(H, "densities", lambda tree, sums: ([1.0] * len(tree.tag), [1.0] * len(tree.tag)))
+    assert all(H.extract(h) != t for h, t in zip(pages, texts, strict=True))
+
+
+def test_sections_lead_and_links_beside_and_inside():
+    many = "".join(f"<p>{'plain words of a paragraph ' * 9}{k}.</p>" for k in range(4))
+    links = "".join(f"<li><a href=/{k}>Read part {k} as well</a></li>" for k in range(6))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Title</h1><div>{many}</div><div>{many}<ul>{links}</ul><p>Short.</p></div></div><div>About us</div></body>"
+    text = H.extract(page)
+    assert text.startswith("Title plain") and text.count("paragraph") == 72 and text.endswith("Short.")
+    assert "as well" not in text and "About" not in text
+
+
+def test_a_page_that_is_all_in_a_named_part():
+    assert H.extract('<body><div class="share"><p>The only text</p></div></body>') == "The only text"
+
+
+def test_references_are_decoded_between_tags():
+    assert H.extract("<article><p>a&am<b>p;</b> b &lt;c&#62;</p></article>") == "a&amp; b <c>"
+    assert H.extract("<article><p>a\u00a0\u2003b&nbsp;c</p></article>") == "a b c"
+
+
 def test_nulls_and_empty_table(spark):
     rows = [(1, None, None), (None, "u", "<p>x</p>"), (1, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
