@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +20,33 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which all executors share.
 
-    A folder of our own is set only where the session has none, as in tests.
+    A folder of our own is set only where a local session has none, as in tests; on a
+    cluster a missing setting is an error, as the executors share no temporary folder.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a reliable checkpoint in the shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: a table in the shared folder, written and read again.
+
+    Unlike a checkpoint it carries nothing of its plan (constraints, orders), which would
+    grow from round to round.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_key(id_col: str, text_col: str) -> Column:
@@ -43,13 +59,42 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def sample_by_hash(df: DataFrame, limit: int, *by: str, id_col: str, seed: int = 7) -> DataFrame:
-    """At most about 1.2 * limit + 32 rows of each group, the ones with the smallest hash of the id.
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes for the table to lack it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys that count as hot hold more than this part of all rows, so that there are fewer of them than this.
+HOT = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join with a table of one row for each key, which says how many rows of ``left`` have the key.
+
+    Keys with more than a thousandth of all rows, fewer than a thousand by that count, are
+    sent to all tasks, so that their rows stay where they are; the other rows meet by key.
+    """
+    right = cut(right)
+    least = (right.agg(F.sum(weight)).first()[0] or 0) // HOT
+    hot = F.broadcast(right.where(F.col(weight) > least))
+    cold = left.join(F.broadcast(right.where(F.col(weight) > least).select(*on)), on, "left_anti")
+    return left.join(hot, on).unionByName(cold.join(right.where(F.col(weight) <= least), on)).drop(weight)
+
+
+def sample_by_hash(df: DataFrame, limit: int, *by: str, id_col: str, text_col: str | None = None, seed: int = 7) -> DataFrame:
+    """At most about 1.2 * limit + 32 rows of each group, the ones with the smallest hash of the id, and of the text if it is named.
 
     Group sizes are counted first, so that the rows are picked by a plain filter on
-    the hash: no group is ever sorted or collected as a whole.
+    the hash: no group is ever sorted or collected as a whole.  Equal rows share a hash;
+    one of them is picked.
     """
-    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30))
+    h = F.pmod(F.xxhash64(F.col(id_col), *([F.col(text_col)] if text_col else []), F.lit(seed)), F.lit(1 << 30))
     sizes = df.groupBy(*by).agg(F.greatest(F.count("*"), F.lit(1)).alias("_n")).withColumn(
         "_most", F.least(F.lit(1.0), F.lit(1.2 * limit) / F.col("_n") + F.lit(32.0) / F.col("_n")) * float(1 << 30)
     )
@@ -64,4 +109,4 @@ def sample_by_hash(df: DataFrame, limit: int, *by: str, id_col: str, seed: int =
     else:
         most = sizes.first()["_most"]
         picked = picked.where(F.col("_h") < F.lit(most))
-    return picked.drop("_h")
+    return picked.drop("_h").distinct()

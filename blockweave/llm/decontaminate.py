@@ -16,15 +16,17 @@ the size of the benchmark, and hits of several blocks are merged by row.
 
 Defined results: words are lower-cased in A-Z.  A null or empty text has no words,
 no hits and no items.  Repeated rows each get a result.  An empty benchmark leaves
-all documents clean; an empty table gives an empty result.  Equal longest matches
-give the one of the smallest place in the shard.  ``remove`` passes on all columns,
-whatever their names.
+all documents clean; an empty table gives an empty result.  A document's longest match
+is its longest run of words that stands in an item, of those that hold a window; of equal
+ones the first in the document counts.  Without a match it has length 0 and no place.
+``remove`` passes on all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -32,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import cut, text_key
+from blockweave.llm.common import cut, free_names, text_key
 
 WINDOW = 10
 #: Words in a shard, and UTF-8 bytes of items in a block.
-SHARD_WORDS, BLOCK_BYTES = 2_000_000, 4_000_000
+SHARD_WORDS, BLOCK_BYTES = 2_000_000, 16_000_000
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -137,7 +139,7 @@ def bound(shard: np.ndarray, order: np.ndarray, test: np.ndarray, start: np.ndar
 
 
 def search(shard: np.ndarray, items: Items, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """Places, widths and owners of the windows found, and (test place, longest match, shard place) of every test suffix of ``shortest`` words or more."""
+    """(place in the shard, number of the window) of every occurrence of a window, and (test place, longest match, shard place) of every test suffix of ``shortest`` words or more."""
     # Only the runs that are long enough take part, each with the 0 after it, so that sorting follows their number.
     zeros = np.flatnonzero(shard == 0)
     starts = np.append(0, zeros[:-1] + 1)
@@ -151,7 +153,7 @@ def search(shard: np.ndarray, items: Items, shortest: int) -> tuple[np.ndarray,
     tests = np.flatnonzero(items.run >= shortest)
     none = np.zeros(0, np.int64)
     if not len(order) or not len(tests):
-        return none, none, none, (none, none, none)
+        return none, none, (none, none, none)
     at = bound(seq, order, items.seq, tests, items.run[tests], False)
     best, where = np.zeros(len(tests), np.int64), np.full(len(tests), len(shard), np.int64)
     for beside in (at - 1, at):
@@ -162,14 +164,24 @@ def search(shard: np.ndarray, items: Items, shortest: int) -> tuple[np.ndarray,
         found[ok] = back[order[beside[ok]]]
         better = (common > best) | (common == best) & (found < where)
         best, where = np.where(better, common, best), np.where(better, found, where)
-    hit = best[np.searchsorted(tests, items.place)] >= items.width
-    place, width, owner = items.place[hit], items.width[hit], items.owner[hit]
+    hit = np.flatnonzero(best[np.searchsorted(tests, items.place)] >= items.width)
+    place, width = items.place[hit], items.width[hit]
     first = bound(seq, order, items.seq, place, width, False)
     last = bound(seq, order, items.seq, place, width, True)
     count = last - first
     index = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum()) if len(count) else none
     long = best >= shortest
-    return back[order[index]], np.repeat(width, count), np.repeat(owner, count), (tests[long], best[long], where[long])
+    return back[order[index]], np.repeat(hit, count), (tests[long], best[long], where[long])
+
+
+def matches(at: np.ndarray, window: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Places and lengths of the maximal matches that occurrences of windows make up: windows that follow each other in the shard and in an item."""
+    apart = at - items.place[window]
+    order = np.lexsort((at, apart))
+    a, d = at[order], apart[order]
+    first = np.flatnonzero(np.append(True, (np.diff(a) != 1) | (np.diff(d) != 0))) if len(a) else order
+    last = np.append(first[1:], len(a)) - 1 if len(a) else order
+    return a[first], a[last] - a[first] + items.width[window[order[last]]]
 
 
 _OUT = [("key", pa.int64()), ("row", pa.int64()), ("doc_id", None), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest_match", pa.int64()), ("longest_at", pa.int64())]
@@ -180,7 +192,8 @@ def _shards(items: Items, shard_words: int) -> Callable[[Iterator[pa.RecordBatch
         sizes = np.array([len(x) - 1 for x in ids], np.int64)
         begins = np.append(0, np.cumsum(sizes + 1))
         shard = np.concatenate(ids)
-        at, width, owner, (_, best, where) = search(shard, items, items.shortest)
+        at, window, _ = search(shard, items, items.shortest)
+        width, owner = items.width[window], items.owner[window]
         doc = np.searchsorted(begins, at, side="right") - 1
         # Covered words: +1 where an occurrence begins, -1 after its end.
         steps = np.zeros(len(shard) + 1, np.int32)
@@ -197,7 +210,7 @@ def _shards(items: Items, shard_words: int) -> Callable[[Iterator[pa.RecordBatch
         for d, o in set(zip(doc.tolist(), owner.tolist(), strict=True)):
             found.setdefault(d, set()).add(items.names[o])
         longest: dict[int, tuple] = {}
-        for w, size in zip(where.tolist(), best.tolist(), strict=True):
+        for w, size in zip(*(x.tolist() for x in matches(at, window, items)), strict=True):
             d = int(np.searchsorted(begins, w, side="right") - 1)
             longest[d] = max(longest.get(d, (0, 0)), (size, int(begins[d]) - w))
         n = range(len(heads))
@@ -245,13 +258,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"key long, row long, doc_id {kind}, n_words long, hits array<struct<start:long,end:long>>, items array<string>, longest_match long, longest_at long"
     slim = docs.select(text_key(id_col, text_col).alias("key"), F.lit(0).cast("long").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
+    parts: list[DataFrame] = []
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
         items = slim.sparkSession.sparkContext.broadcast(Items(block, window))
+        if k == 1:
+            parts[0] = cut(parts[0])
+        # Each block's part is written once, so that no more than one block is held.
         one = slim.mapInArrow(_task(items, shard_words), schema).withColumn("row", F.lit(k).cast("long"))
-        out = one if out is None else cut(out.union(one))
-    if k:
-        out = _merged(out)
+        parts.append(cut(one.where(_FOUND)) if k else one)
+    out = parts[0] if len(parts) == 1 else _merged(reduce(DataFrame.union, parts))
     return out.drop("row")
 
 
@@ -259,6 +274,10 @@ def _task(items, shard_words: int) -> Callable:
     return lambda batches: _shards(items.value, shard_words)(batches)
 
 
+#: Rows of the second and later blocks that say more than the first block's row.
+_FOUND = "size(hits) > 0"
+
+
 def _merged(parts: DataFrame) -> DataFrame:
     """Results of several blocks by row; equal rows have equal results, so that they meet by key and are counted."""
     step = lambda a, h: F.when(  # noqa: E731  spans in order: the last one grows or a new one begins
@@ -268,7 +287,7 @@ def _merged(parts: DataFrame) -> DataFrame:
     g = parts.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.count(F.when(F.col("row") == 0, 1)).alias("times"), F.first("n_words").alias("n_words"), F.flatten(F.collect_set("hits")).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.max(F.struct("longest_match", F.negative("longest_at").alias("at"))).alias("best"),
-    )
+    )  # a match comes from one block, as items do
     hits = F.aggregate(F.array_sort("h"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), step)
     return g.select("key", F.lit(0).alias("row"), "doc_id", "n_words", hits.alias("hits"), "items", F.col("best.longest_match").alias("longest_match"), F.negative("best.at").alias("longest_at"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("t")).drop("t")
 
@@ -276,14 +295,15 @@ def _merged(parts: DataFrame) -> DataFrame:
 def digest(scanned: DataFrame) -> DataFrame:
     """The contract's columns of a scan."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"])
-    return scanned.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest_match")
+    return scanned.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest_match", "longest_at")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any window of the benchmark, with their own columns."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = scan(docs, benchmark, **options).where(F.size("hits") > 0).select(F.col("key").alias("_bad"))
-    return docs.withColumn("_key", text_key(id_col, text_col)).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    (key,) = free_names(docs, "_key")
+    bad = scan(docs, benchmark, **options).where(F.size("hits") > 0).select(F.col("key").alias(key))
+    return docs.withColumn(key, text_key(id_col, text_col)).join(bad, key, "left_anti").select(*[F.col(c) for c in docs.columns])
 
 
 def sha256_of(items: list[str]) -> str:

@@ -32,8 +32,8 @@ from blockweave.llm.common import held_out, sample_by_hash
 
 PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS, LANDMARKS, RIDGE = 150, 200, 20_000, 128, 1e-2
 UNDETERMINED = "und"
-#: Slots of the table from n-gram to feature; two n-grams of one slot are told apart, the later one has no feature.
-SLOTS = 1 << 20
+#: Numbers of n-grams: bytes, then pairs, then triples.
+NUMBERS = 256 + (1 << 16) + (1 << 24)
 
 
 def grams(raw: np.ndarray) -> Iterator[np.ndarray]:
@@ -46,10 +46,6 @@ def grams(raw: np.ndarray) -> Iterator[np.ndarray]:
         yield (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) + 256 + 65536
 
 
-def slot(g: np.ndarray) -> np.ndarray:
-    return (g * np.uint32(2654435761)) >> np.uint32(12)
-
-
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -66,13 +62,7 @@ class KernelModel:
             order.append((rank[lang], lang, k))
         chosen = [k for *_, k in sorted(order)[:landmarks]]
         numbers = np.unique(np.concatenate([np.concatenate([np.unique(g) for g in grams(self.raw(texts[k]))]) for k in chosen]))
-        _, first = np.unique(slot(numbers), return_index=True)
-        numbers = numbers[np.sort(first)]
-        self.gram = np.full(SLOTS, np.iinfo(np.uint32).max, np.uint32)
-        self.feature = np.zeros(SLOTS, np.int32)
-        self.gram[slot(numbers)] = numbers
-        self.feature[slot(numbers)] = np.arange(len(numbers))
-        self.size = len(numbers)
+        self.number(numbers)
         self.landmarks = np.zeros((self.size, 0), np.float32)
         marks = self.presence([texts[k] for k in chosen])
         self.landmarks = (marks / np.sqrt(np.maximum(1, marks.sum(axis=1, keepdims=True)))).T.copy()
@@ -88,18 +78,31 @@ class KernelModel:
         self.weights = (nystroem @ solved[:-1]).astype(np.float32)
         self.bias = solved[-1].astype(np.float32)
 
+    def number(self, grams: np.ndarray) -> None:
+        """Feature numbers from 1 on by n-gram; 0 is an n-gram that no landmark has."""
+        self.grams, self.size = grams, len(grams)
+        self.feature = np.zeros(NUMBERS, np.int32)
+        self.feature[grams] = np.arange(1, self.size + 1)
+
+    def __getstate__(self):
+        # The table by n-gram is made again where the model is used.
+        return {k: v for k, v in self.__dict__.items() if k != "feature"}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.number(self.grams)
+
     @staticmethod
     def raw(text: str) -> np.ndarray:
         return np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """Texts by features: 1 where the text has the n-gram."""
-        out = np.zeros((len(texts), self.size), np.float32)
+        out = np.zeros((len(texts), self.size + 1), np.float32)
         for row, text in zip(out, texts, strict=True):
             for g in grams(self.raw(text)):
-                s = slot(g)
-                row[self.feature[s[self.gram[s] == g]]] = 1
-        return out
+                row[self.feature[g]] = 1
+        return out[:, 1:]
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         x = self.presence(texts)
@@ -117,7 +120,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     if not common:
         return None
-    drawn = sample_by_hash(rows.where(F.col("lang").isin(common)), per_language, "lang", id_col="id").collect()
+    drawn = sample_by_hash(rows.where(F.col("lang").isin(common)), per_language, "lang", id_col="id", text_col="text").collect()
     drawn = sorted((r for r in drawn if has_letter(r["text"])), key=lambda r: (r["lang"], str(r["id"]), r["text"]))
     return KernelModel([r["text"] for r in drawn], [r["lang"] for r in drawn]) if drawn else None
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockweave.llm.common import cut, text_key
+from blockweave.llm.common import cut, free_names, text_key
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 MAX_DOCS, MIN_LEFT = 10, 0.2
@@ -128,8 +128,9 @@ def _frequent(measured: DataFrame, max_docs: int) -> tuple[DataFrame, DataFrame]
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The measures of every row with boilerplate_chars, base_failed and kept; ``key`` joins back to the documents."""
     kind = docs.schema[id_col].dataType.simpleString()
+    # The number of a row is written with it, so that it stays the same wherever the rows are read.
     schema = f"key long, doc_id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, whole long, lines array<struct<h:long,c:long>>"
-    measured = cut(_slim(docs, id_col, text_col, host_col).mapInArrow(_measures, schema)).withColumn("rid", F.monotonically_increasing_id())
+    measured = cut(_slim(docs, id_col, text_col, host_col).mapInArrow(_measures, schema).withColumn("rid", F.monotonically_increasing_id()))
     rows, frequent = _frequent(measured, max_docs)
     salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
@@ -143,8 +144,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that are kept, with their own columns and whole texts."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    good = judge(docs, **options).where("kept").select(F.col("key").alias("_good")).distinct()
-    return docs.withColumn("_key", text_key(id_col, text_col)).join(good, F.col("_key") == F.col("_good"), "left_semi").drop("_key")
+    (key,) = free_names(docs, "_key")
+    good = judge(docs, **options).where("kept").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, text_key(id_col, text_col)).join(good, key, "left_semi").select(*[F.col(c) for c in docs.columns])
 
 
 @F.arrow_udf(T.StringType())
@@ -161,6 +163,7 @@ def _without(texts: pa.Array, hashes: pa.Array) -> pa.Array:
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The documents that are kept, their texts without boilerplate lines."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    good = judge(docs, **options).where("kept").groupBy(F.col("key").alias("_good")).agg(F.first("boilerplate").alias("_gone"))
-    kept = docs.withColumn("_key", text_key(id_col, text_col)).join(good, F.col("_key") == F.col("_good"))
-    return kept.withColumn(text_col, _without(F.col(text_col), F.col("_gone"))).select(*[F.col(c) for c in docs.columns])
+    key, gone = free_names(docs, "_key", "_gone")
+    good = judge(docs, **options).where("kept").groupBy(F.col("key").alias(key)).agg(F.first("boilerplate").alias(gone))
+    kept = docs.withColumn(key, text_key(id_col, text_col)).join(good, key)
+    return kept.withColumn(text_col, _without(F.col(text_col), F.col(gone))).select(*[F.col(c) for c in docs.columns])

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by exact budgets.
 
-Every document gets a hash-random key.  Documents are range-partitioned by key
-inside their source; sums of token counts over ranges of two widths and a running
-sum inside the narrow ranges together are a distributed prefix sum, and the mix
-is cut where the prefix sum reaches the source's budget.  Budgets above the
+Every document gets a hash-random key.  Documents are range-sorted by source and key;
+a last part of the sort key is the row's own number, so that ranges are alike in size
+also where an id or a source has a third of all rows.  Sums of token counts over the
+ranges of a source and a running sum inside each range together are a distributed
+prefix sum, and the mix is cut where it reaches the source's budget.  Budgets above the
 source's size repeat whole epochs first.
 
 Defined results: a null text has no words, so it takes none.  A null source is a
@@ -24,10 +25,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockweave.llm.common import cut, text_key
+from blockweave.llm.common import cut, free_names, text_key
 
-#: Rows in a narrow range on average, and narrow ranges in a wide one.
-ROWS_IN_RANGE, RANGES_IN_WIDE = 64, 64
+#: Rows in a range on average, at most; there are at least as many ranges as shuffle partitions.
+ROWS_IN_RANGE = 1_000_000
 
 
 @F.arrow_udf(T.LongType())
@@ -66,28 +67,22 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
             F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("")).alias("deal"),
         )
     )
-    slim = slim.withColumn("u", F.coalesce(F.conv(F.substring("deal", 1, 8), 16, 10).cast("long"), F.lit(0)))
     by_source = targets(slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, share, epochs)
-    # The number of narrow ranges follows the number of rows, alike for each source, so that every document knows its range without a join.
-    ranges = F.lit(max(1, slim.count() // ROWS_IN_RANGE))
-    slim = slim.withColumn("narrow", F.shiftright(F.col("u") * ranges, 32)).withColumn("wide", F.floor(F.col("narrow") / RANGES_IN_WIDE))
-    narrow = slim.groupBy("source", "wide", "narrow").agg(F.sum("size").alias("s"))
-    wide = narrow.groupBy("source", "wide").agg(F.sum("s").alias("ws"))
-    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    wide = wide.withColumn("wide_before", F.coalesce(F.sum("ws").over(earlier(W.partitionBy("source").orderBy("wide"))), F.lit(0)))
-    wide = wide.join(by_source, wide["source"].eqNullSafe(by_source["source"])).drop(by_source["source"])
-    offsets = narrow.withColumn("narrow_before", F.coalesce(F.sum("s").over(earlier(W.partitionBy("source", "wide").orderBy("narrow"))), F.lit(0)))
-    offsets = offsets.join(wide, offsets["source"].eqNullSafe(wide["source"]) & (offsets["wide"] == wide["wide"])).select(
-        offsets["source"].alias("o_source"), offsets["narrow"].alias("o_narrow"), (F.col("wide_before") + F.col("narrow_before")).alias("base"), "source_size", "target"
-    )
-    placed = slim.join(offsets, slim["source"].eqNullSafe(offsets["o_source"]) & (slim["narrow"] == offsets["o_narrow"]))
-    inside = W.partitionBy("source", "narrow").orderBy("deal", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    # Null sources take part in joins as text; a row's own number parts rows that are equal in all else.
+    slim = slim.withColumns({"at": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "tie": F.xxhash64(F.monotonically_increasing_id())})
+    order = ["deal", "doc_id", "size", "tie"]
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), slim.count() // ROWS_IN_RANGE + 1)
+    placed = cut(slim.repartitionByRange(ranges, "at", *order).withColumn("range", F.spark_partition_id()))
+    before = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    offsets = placed.groupBy("source", "at", "range").agg(F.sum("size").alias("s"))
+    offsets = offsets.withColumn("base", F.coalesce(F.sum("s").over(before("at").orderBy("range")), F.lit(0)))
+    offsets = offsets.join(by_source, offsets["source"].eqNullSafe(by_source["source"])).select("at", "range", "base", "source_size", "target")
+    placed = placed.join(offsets, ["at", "range"])
+    placed = placed.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(before("at", "range").orderBy(*order)), F.lit(0)))
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - whole * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    placed = placed.withColumn("before", before)
     return placed.select("key", "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
 
 
@@ -95,6 +90,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """Documents that the mix takes, with size, source_size, target and taken."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     made = ["size", "source_size", "target", "taken"]
-    parts = plan(docs, **options).groupBy(F.col("key").alias("_key")).agg(*[F.max(c).alias(c) for c in made])
-    kept = docs.drop(*made).withColumn("_k", text_key(id_col, text_col))
-    return kept.join(parts.where("taken > 0"), F.col("_k") == F.col("_key")).drop("_k", "_key")
+    kept = docs.drop(*made)
+    (key,) = free_names(kept, "_key")
+    parts = plan(docs, **options).groupBy(F.col("key").alias(key)).agg(*[F.max(c).alias(c) for c in made])
+    return kept.withColumn(key, text_key(id_col, text_col)).join(parts.where("taken > 0"), key).drop(key)

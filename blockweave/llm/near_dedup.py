@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import cut, text_key
+from blockweave.llm.common import cut, free_names, join_hot, text_key
 from blockweave.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -50,6 +50,8 @@ BANDS, ROWS = 40, 5
 BITS, PARTNERS = 1 << 24, 32
 #: 64-bit words in a set's parity.
 WORDS = 64
+#: Bytes of the longest word whose hash is remembered.
+LONGEST = 64
 _U = np.uint64
 
 
@@ -66,7 +68,9 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = h
         return h
 
 
@@ -186,16 +190,17 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     if not links.limit(1).count():
         return labels
     over = components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    renamed = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    known = labels.groupBy("label").agg(F.count("*").alias("w")).join(over, "label", "left")
+    renamed = join_hot(labels, known, ["label"], "w").select("node", F.coalesce("top", "label").alias("label"))
     alone = over.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
     return cut(renamed.union(alone))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members, with their labels, of buckets that hold several components."""
-    place = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = place.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("bucket")
-    return cut(place.join(several, "bucket"))
+    place = cut(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    several = place.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("w")).where("l < m").select("bucket", "w")
+    return cut(join_hot(place, several, ["bucket"], "w"))
 
 
 def _apart(x: str, y: str, percent: int) -> Column:
@@ -220,8 +225,8 @@ def _beside_centre(members: DataFrame, star: DataFrame, sets: DataFrame, labels:
     place = _mixed(members.select("bucket", "node", "n"), labels)
     if not place.limit(1).count():
         return labels
-    chief = place.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m")).select("bucket", F.col("m.label").alias("centre"))
-    place = cut(place.join(chief, "bucket"))
+    chief = place.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("w")).select("bucket", F.col("m.label").alias("centre"), "w")
+    place = cut(join_hot(place, chief, ["bucket"], "w"))
     wanted = place.select(F.col("centre").alias("label")).distinct()
     some = cut(place.select("node", "label").distinct().join(wanted, "label", "left_semi").join(sets.select("node", "items"), "node"))
     items = some.select("label", F.explode("items").alias("item")).groupBy("label", "item").agg(F.count("*").alias("c"))
@@ -235,8 +240,8 @@ def _beside_centre(members: DataFrame, star: DataFrame, sets: DataFrame, labels:
     known = _verified(cut(place.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), sets, percent, centres)
     distance = known.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("total")).alias("d"))
     place = cut(place.join(distance, ["centre", "node"]).select("bucket", "node", "n", "d"))
-    heart = place.groupBy("bucket").agg(F.min(F.struct("d", "node")).alias("m")).select("bucket", F.col("m.node").alias("a"))
-    again = place.join(heart, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    heart = place.groupBy("bucket").agg(F.min(F.struct("d", "node")).alias("m"), F.count("*").alias("w")).select("bucket", F.col("m.node").alias("a"), "w")
+    again = join_hot(place, heart, ["bucket"], "w").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     tried = _verified(cut(again.join(star.select("a", "b"), ["a", "b"], "left_anti")), sets, percent)
     labels = _merged(labels, tried.where("linked").select("a", "b"))
     place = cut(_mixed(place, labels).join(sets.select("node", "parity"), "node"))
@@ -260,8 +265,8 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     # The bands of equal sets are equal; each task keeps one list of a node before any is shuffled.
     nodes = cut(full.groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1").select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    members = cut(members.join(shared, "bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1").select("bucket", F.col("p.node").alias("pivot"), "c")
+    members = cut(join_hot(members, shared, ["bucket"], "c"))
     pairs = cut(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"))
     made = slim.mapInArrow(_set_maker(width, _bitmap(wanted)), "key long, items array<long>, parity array<long>")
@@ -269,9 +274,9 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     star = _verified(pairs, sets, percent)
     labels = components(star.where("linked").select("a", "b"))
     labels = _beside_centre(members, star, sets, labels, percent)
-    named = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = named.join(ids, "label").select("node", "component_id")
+    named = cut(nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("w"))
+    named = join_hot(named, ids, ["label"], "w").select("node", "component_id")
     out = sketched.drop("bands").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("key", "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -280,6 +285,7 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
 def dedupe(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, with its own columns; of repeated rows one stays."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    good = group(docs, **options).where("kept").select(F.col("key").alias("_good")).distinct()
-    kept = docs.withColumn("_key", text_key(id_col, text_col)).join(good, F.col("_key") == F.col("_good"), "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    (key,) = free_names(docs, "_key")
+    good = group(docs, **options).where("kept").select(F.col("key").alias(key)).distinct()
+    kept = docs.withColumn(key, text_key(id_col, text_col)).join(good, key, "left_semi")
+    return kept.dropDuplicates([key]).select(*[F.col(c) for c in docs.columns])

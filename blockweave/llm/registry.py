@@ -12,7 +12,7 @@ from blockweave.llm.common import read
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))).drop("longest_match")
+    return decontaminate.digest(decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,16 +86,19 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 
 _OP1 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bk AS (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
-win AS (SELECT DISTINCT item, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS t FROM bk),
+b AS (SELECT row_number() OVER () AS b, CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bk AS (SELECT b, item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT b, item, size, k AS p, array_to_string(list_slice(w, k, k + size - 1), ' ') AS t FROM bk),
 dk AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d),
 dw AS (SELECT r, k, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS t FROM dk, (SELECT DISTINCT size FROM win) WHERE k + size - 1 <= len(w)),
-hit AS (SELECT DISTINCT r, k, dw.size, item FROM dw JOIN win USING (size, t)),
+hit AS (SELECT r, k, dw.size, b, item, p FROM dw JOIN win USING (size, t)),
+run AS (SELECT *, k - row_number() OVER (PARTITION BY r, b, k - p ORDER BY k) AS g FROM hit),
+far AS (SELECT r, min(k) - 1 AS place, count(*) + min(size) - 1 AS words FROM run GROUP BY r, b, k - p, g),
+top AS (SELECT r, max(words) AS longest_match, arg_min(place, (-words, place)) AS longest_at FROM far GROUP BY r),
 pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS p FROM hit) GROUP BY r),
 its AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match, CAST(longest_at AS BIGINT) AS longest_at
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r) LEFT JOIN top USING (r)
 """
 
 _OP7 = r"""

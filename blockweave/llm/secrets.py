@@ -328,9 +328,9 @@ def _gradient(batch: list, weights: np.ndarray, transitions: np.ndarray) -> tupl
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> Field | None:
-    """Fit on a sample picked by a hash of the ids."""
+    """Fit on a sample picked by a hash of id and text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.length("text") <= max_chars) & F.col("id").isNotNull())
-    drawn = sample_by_hash(rows, sample, id_col="id").limit(2 * sample + 64).collect()
+    drawn = sample_by_hash(rows, sample, id_col="id", text_col="text").collect()
     return fit([r["text"] for r in sorted(drawn, key=lambda r: (str(r["id"]), r["text"]))])
 
 

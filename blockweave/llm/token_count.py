@@ -13,7 +13,7 @@ vocabulary has all of them.
 
 The vocabulary comes from a public model file whose place is a parameter; it is read
 once by the driver and refused above ``MAX_BYTES``, so what is sent to the tasks is
-bounded.  Counts of words are remembered by each task up to ``CACHE`` words.
+bounded.  Counts of words of up to ``LONGEST`` characters are remembered by each task, up to ``CACHE`` words.
 
 Defined results: a null or empty text has 0 tokens.  Repeated rows each get a result.
 ``count_tokens`` gives the id and counts only, so no column can clash.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_BYTES, CACHE = 16_000_000, 400_000
+#: Longer words are counted each time, so that what is remembered is bounded in bytes too.
+LONGEST = 64
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -132,7 +134,9 @@ class Unigram:
             if k is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                k = cache[w] = self.word(SPACE + w)
+                k = self.word(SPACE + w)
+                if len(w) <= LONGEST:
+                    cache[w] = k
             total += k
         return total
 

@@ -20,7 +20,8 @@ Whole texts are scored, each text once; what is sent to the tasks is bounded by
 
 Defined results: a null or empty text has no matches and gets the score of a text
 without any.  With nothing to learn from, each score is 0.  Repeated rows each get a
-result.  Several labels of one id count as toxic if one is.  ``score`` gives its own
+result.  Several labels of one id count as toxic if one is; of several texts of one id
+the smallest teaches.  ``score`` gives its own
 columns only, so no column can clash.
 """
 
@@ -41,6 +42,8 @@ from blockweave.llm.common import held_out, sample_by_hash
 
 PER_CLASS, MAX_CHARS, MAX_TERMS, THRESHOLD = 1500, 20_000, 2000, 0.3
 AROUND = 6
+#: Longer words aren't remembered, so that what is remembered is bounded in bytes too.
+LONGEST = 64
 WORD = re.compile(r"[^\W_]+")
 # Words that report or mention, words that address, and quotation marks.
 REPORTING = frozenset("said says say called calls call quote quoted quotes wrote writes term word words phrase slur insult insults dit dite disait mot terme insulte sagte sagt nannte wort begriff zitat dijo dice llamó palabra término insulto".split())
@@ -137,7 +140,9 @@ class LexiconAutomaton:
             if state < 0:
                 break
         ends = self.ends[state] if state > 0 else []
-        hit = self.found[word] = next(((t, e) for e, t in ends if not (e and len(t) < 5 and word in self.plain)), None)
+        hit = next(((t, e) for e, t in ends if not (e and len(t) < 5 and word in self.plain)), None)
+        if len(word) <= LONGEST:
+            self.found[word] = hit
         return hit
 
 
@@ -259,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return None
     # A few thousand ids at most, by the bound of the sample.
     drawn = F.broadcast(sample_by_hash(known, per_class, "y", id_col="id"))
-    rows = texts.where((F.length("text") <= max_chars) & F.col("text").isNotNull()).join(drawn, "id").dropDuplicates(["id"]).collect()
+    rows = texts.where((F.length("text") <= max_chars) & F.col("text").isNotNull()).join(drawn, "id").groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["text"]))
     y = [r["y"] for r in rows]
     if len(set(y)) < 2:

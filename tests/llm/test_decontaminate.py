@@ -37,6 +37,20 @@ def spark_rows(df):
     return sorted((tuple(r)[:6] for r in df.collect()), key=str)
 
 
+def brute_longest(text, items):
+    words, best = WORD.findall(lower(text)), (0, 0)
+    for _, t in items:
+        w = WORD.findall(lower(t))
+        for j in range(len(words)):
+            for k in range(len(w)):
+                n = 0
+                while j + n < len(words) and k + n < len(w) and words[j + n] == w[k + n]:
+                    n += 1
+                if n >= min(10, len(w)):
+                    best = max(best, (n, -j))
+    return best[0], -best[1] if best[0] else None
+
+
 def random_rows(seed, n=40):
     r = random.Random(seed)
     words = ["a", "b", "Éa", "c", "d9", "zz"]
@@ -53,6 +67,8 @@ def test_same_as_brute_force(spark, block_bytes, shard):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = D.digest(D.scan(docs(spark, rows), bench, block_bytes=block_bytes, shard_words=shard))
     assert spark_rows(got) == brute(rows, items)
+    long = sorted(((r["doc_id"], r["longest_match"], r["longest_at"]) for r in got.collect()), key=str)
+    assert long == sorted(((i, *brute_longest(t, items)) for i, t in rows), key=str)
 
 
 def test_query_on_sample_same_as_brute_force(spark):
