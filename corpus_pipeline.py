@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.llm import decontaminate, line_quality, mixing, near_dedup, secrets
-from blockweave.llm.common import checkpoint_folder, read
+from blockweave.llm.common import checkpoint_folder, delete_folder, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; what lies between them goes to the shared folder."""
+    """All stages over the documents of a folder; what lies between them goes to the shared folder, and what a later stage replaced is deleted."""
     docs = read(spark, sf_dir, "documents")
     at = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -59,6 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{at}/{k}")
             docs = spark.read.parquet(f"{at}/{k}")
+            if k:
+                delete_folder(spark, f"{at}/{k - 1}")
     return docs
 
 
