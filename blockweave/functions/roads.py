@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Importance of road classes (1 is the greatest), by use.
-RANK = {"motorway": 1, "motorway_link": 1, "trunk": 2, "trunk_link": 2, "primary": 3, "primary_link": 3, "secondary": 4, "secondary_link": 4, "tertiary": 5, "tertiary_link": 5, "unclassified": 6, "residential": 7, "living_street": 8, "service": 9}
+RANK = {"motorway": 1, "motorway_link": 1, "trunk": 2, "trunk_link": 2, "primary": 3, "primary_link": 3, "secondary": 4, "secondary_link": 4, "tertiary": 5, "tertiary_link": 5, "residential": 6, "living_street": 7, "unclassified": 8, "service": 9}
 EXTRA_RANK = {"features": {"pedestrian": 10}, "analysis": {"pedestrian": 10, "cycleway": 10, "footway": 10, "path": 10}, "enforcement": {}}
 UNKNOWN_RANK = {"features": 99, "analysis": 99, "enforcement": 6}
 # Vehicles an hour and lane, and the usual load, by class.

@@ -34,7 +34,7 @@ def event_text(events: DataFrame) -> DataFrame:
 def parse_events(texts: DataFrame) -> DataFrame:
     """Events of texts, one row each."""
     parts = texts.select(F.explode(F.split("text", "\n\n")).alias("part")).where(F.col("part").startswith("data: "))
-    return parts.select(F.from_json(F.substring("part", 7, 1_000_000), "type string, stage string, percent int, message string").alias("e")).select("e.*")
+    return parts.select(F.from_json(F.regexp_replace("part", r"\Adata: ", ""), "type string, stage string, percent int, message string").alias("e")).select("e.*")
 
 
 def impact(scored: DataFrame) -> DataFrame:

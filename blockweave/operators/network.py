@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockweave.functions import roads as R
+from blockweave.functions.lineage import cut
 
 MAX_SPAN = 0.5
 
@@ -59,13 +60,26 @@ def first_length(edges: DataFrame) -> DataFrame:
 
 
 def index_percentile(values: DataFrame, column: str, percent: int) -> DataFrame:
-    """The element at floor(n * percent / 100) of the sorted values.
+    """The element at floor(n * percent / 100) of the sorted values, and n; nulls of both for none.
 
-    Values are counted first, so that only distinct values are put in order.
+    Values are counted, and the counts range-partitioned; sums of the ranges, a row each,
+    tell in which range the element lies, and only that one is put in order.
     """
-    counts = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    ranked = counts.select("value", F.sum("c").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
-    return ranked.where(F.col("upto") > F.floor(F.col("n") * percent / 100)).agg(F.min("value").alias("value"), F.max("n").alias("n"))
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(counts.repartitionByRange(parts, "value").withColumn("range", F.spark_partition_id()))
+    sums = sorted((r["range"], r["c"]) for r in ranged.groupBy("range").agg(F.sum("c").alias("c")).collect())
+    n = sum(c for _, c in sums)
+    rank, before = n * percent // 100, 0
+    for here, c in sums:  # noqa: B007
+        if before + c > rank:
+            break
+        before += c
+    if not n:
+        return ranged.agg(F.min("value").alias("value"), F.sum("c").alias("n"))
+    upto = F.sum("c").over(W.partitionBy("range").orderBy("value").rowsBetween(W.unboundedPreceding, 0)) + before
+    found = ranged.where(F.col("range") == here).withColumn("upto", upto).where(F.col("upto") > rank)
+    return found.agg(F.min("value").alias("value"), F.lit(n).cast("long").alias("n"))
 
 
 def degree(edges: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from blockweave.functions import roads as R
-
-
-def _case(table: dict, key: str, default) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {default} END"
-
+# Fixed values of the classes that the derived network has; written out, so that nothing is shared with the library.
+RANK = "CASE highway WHEN 'trunk' THEN 2 WHEN 'primary' THEN 3 WHEN 'secondary' THEN 4 WHEN 'tertiary' THEN 5 WHEN 'residential' THEN 6 WHEN 'living_street' THEN 7 WHEN 'unclassified' THEN 8 WHEN 'service' THEN 9 ELSE 99 END"
+CAPACITY = "CASE highway WHEN 'trunk' THEN 1600 WHEN 'primary' THEN 800 WHEN 'secondary' THEN 600 WHEN 'tertiary' THEN 400 WHEN 'residential' THEN 200 WHEN 'living_street' THEN 100 WHEN 'unclassified' THEN 300 WHEN 'service' THEN 150 ELSE 200 END"
+LOAD = "CASE highway WHEN 'trunk' THEN 0.65 WHEN 'primary' THEN 0.60 WHEN 'secondary' THEN 0.50 WHEN 'tertiary' THEN 0.40 WHEN 'residential' THEN 0.30 WHEN 'living_street' THEN 0.20 WHEN 'unclassified' THEN 0.35 WHEN 'service' THEN 0.25 ELSE 0.3 END"
+SCORE_CAPACITY = "CASE highway WHEN 'trunk' THEN 1800 WHEN 'primary' THEN 900 WHEN 'secondary' THEN 700 WHEN 'tertiary' THEN 500 WHEN 'residential' THEN 300 WHEN 'living_street' THEN 100 WHEN 'unclassified' THEN 250 WHEN 'service' THEN 150 ELSE 200 END"
 
 BASE = """
 WITH g AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS gw, count(*) AS n FROM part),
@@ -23,7 +22,7 @@ st AS (SELECT u, v, s, u * 4 + axis * 2 AS osmid,
 e AS (SELECT u, v, 0 AS key, osmid, highway, lanes, maxspeed, oneway, length, s FROM st
   UNION ALL SELECT v, u, 0, osmid, highway, lanes, maxspeed, oneway, length, s FROM st WHERE NOT oneway
   UNION ALL SELECT u, v, 1, osmid + 1, highway, lanes, maxspeed, oneway, length + 5, s FROM st WHERE s % 25 = 7),
-f AS (SELECT *, """ + _case(R.RANK | R.EXTRA_RANK["features"], "highway", 99) + """ AS hierarchy, """ + _case(R.CAPACITY, "highway", 200) + """ * lanes AS capacity, CAST(""" + _case(R.LOAD, "highway", 0.3) + """ AS DOUBLE) AS load FROM e),
+f AS (SELECT *, """ + RANK + """ AS hierarchy, """ + CAPACITY + """ * lanes AS capacity, CAST(""" + LOAD + """ AS DOUBLE) AS load FROM e),
 t AS (SELECT *, CAST(trunc(capacity * load) AS INTEGER) AS volume FROM f),
 ti AS (SELECT *, least(100, CAST(trunc(volume / 1500.0::DOUBLE * 100) AS INTEGER)) AS intensity FROM t),
 simple AS (SELECT least(u, v) AS lo, greatest(u, v) AS hi, min(length) AS length FROM e GROUP BY 1, 2),
@@ -47,7 +46,7 @@ SELECT u, v, key, CASE WHEN counted IS NULL THEN load WHEN capacity > 0 THEN lea
   CASE WHEN counted IS NULL THEN intensity ELSE least(100, CAST(trunc(counted / 1500.0::DOUBLE * 100) AS INTEGER)) END AS traffic_intensity, counted IS NOT NULL AS is_real_data FROM ti LEFT JOIN c USING (osmid)""",
     "simple_graph": BASE + "SELECT lo, hi, length FROM simple",
     "simple_first_length": BASE + "SELECT least(u, v) AS lo, greatest(u, v) AS hi, arg_min(length, (u, v, key)) AS length FROM e GROUP BY 1, 2",
-    "simple_cut_cost": BASE + "SELECT least(u, v) AS lo, greatest(u, v) AS hi, min(11 - " + _case(R.RANK, "highway", 6) + ") AS cost FROM e GROUP BY 1, 2",
+    "simple_cut_cost": BASE + "SELECT least(u, v) AS lo, greatest(u, v) AS hi, min(11 - " + RANK + ") AS cost FROM e GROUP BY 1, 2",
     "node_degree": BASE + "SELECT node_id, count(*) AS degree FROM (SELECT lo AS node_id FROM simple UNION ALL SELECT hi FROM simple) GROUP BY node_id",
     "length_percentile_70": BASE + "SELECT length AS value, n FROM (SELECT length, row_number() OVER (ORDER BY length) AS r, count(*) OVER () AS n FROM e) WHERE r = floor(n * 70 / 100) + 1",
     "length_percentile_75_simple": BASE + "SELECT length AS value, n FROM (SELECT length, row_number() OVER (ORDER BY length) AS r, count(*) OVER () AS n FROM simple) WHERE r = floor(n * 75 / 100) + 1",
@@ -65,7 +64,7 @@ p AS (SELECT address_id, arg_min(node_id, (d2, node_id)) AS node_id FROM h GROUP
 en AS (SELECT cell_id, node_id FROM x GROUP BY 1, 2 HAVING count(*) FILTER (role = 'boundary') > 0 AND count(*) FILTER (role = 'interior') > 0),
 an AS (SELECT en.cell_id, en.node_id, atan2(n.y - (c.y0 + c.y1) / 2, n.x - (c.x0 + c.x1) / 2) + pi() / 4 AS a FROM en JOIN cells c USING (cell_id) JOIN nodes2 n USING (node_id))
 SELECT cell_id, node_id, least(CAST(floor((a - 2 * pi() * floor(a / (2 * pi()))) / (pi() / 2)) AS INTEGER), 3) AS sector FROM an""",
-    "cell_interventions": BASE + """, k AS (SELECT l.*, """ + _case(R.RANK, "highway", 99) + """ AS hier, sqrt(pow((ux + vx) / 2 - (x0 + x1) / 2, 2) + pow((uy + vy) / 2 - (y0 + y1) / 2, 2)) / sqrt((x1 - x0) * (y1 - y0)) AS far FROM links l JOIN cells USING (cell_id)),
+    "cell_interventions": BASE + """, k AS (SELECT l.*, """ + RANK + """ AS hier, sqrt(pow((ux + vx) / 2 - (x0 + x1) / 2, 2) + pow((uy + vy) / 2 - (y0 + y1) / 2, 2)) / sqrt((x1 - x0) * (y1 - y0)) AS far FROM links l JOIN cells USING (cell_id)),
 w AS (SELECT *, CASE WHEN role = 'boundary' THEN 'no_change' WHEN hier <= 5 THEN 'one_way' WHEN far < 0.3 THEN 'pedestrianize' WHEN hier >= 7 THEN 'modal_filter' ELSE 'local_access' END AS action FROM k)
 SELECT cell_id, u, v, key, action, CASE WHEN action = 'one_way' THEN CASE WHEN osmid % 2 = 0 THEN 'forward' ELSE 'backward' END END AS direction FROM w""",
     "direction_histogram": BASE + "SELECT CASE WHEN uy = vy THEN 0 ELSE 18 END AS bin, sum(length) AS length FROM ends GROUP BY 1",
