@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.operators.graphs import components
@@ -74,10 +74,143 @@ def report(links: DataFrame, lost: DataFrame) -> DataFrame:
     return t.select("cell_id", "nodes", "unreachable", share.alias("reachable_percent"), (share >= 98).alias("emergency_ok"))
 
 
-def advice(rep: DataFrame) -> DataFrame:
-    """What to look at in cells with unreachable nodes."""
-    text: Column = F.when(F.col("unreachable") > 10, "reconsider the sectors").when(F.col("unreachable") <= 5, "move one filter").otherwise("open one connection")
-    return rep.where("unreachable > 0").select("cell_id", text.alias("advice"))
+def _before(start: int, arcs: dict[int, list[int]]) -> dict[int, int]:
+    """Each reached node with the node before it on a path of fewest streets, the smallest of equals."""
+    before, level = {start: start}, [start]
+    while level:
+        found: dict[int, int] = {}
+        for v in level:
+            for w in arcs.get(v, ()):
+                if w not in before:
+                    found[w] = min(v, found.get(w, v))
+        before |= found
+        level = sorted(found)
+    return before
+
+
+def _cell_rows(links: DataFrame, sectors: DataFrame, changes: DataFrame, lost: DataFrame) -> DataFrame:
+    """All that is known of a cell as rows (cell_id, what, u, v, kind)."""
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    rows = links.where("role = 'interior'").select("cell_id", F.lit("arc").alias("what"), "u", "v", text.alias("kind")).distinct()
+    rows = rows.unionByName(sectors.select("cell_id", F.lit("door").alias("what"), F.col("node_id").alias("u"), none.alias("v"), text.alias("kind")))
+    rows = rows.unionByName(changes.select("cell_id", F.lit("change").alias("what"), F.col("lo").alias("u"), F.col("hi").alias("v"), "kind"))
+    rows = rows.unionByName(lost.select("cell_id", F.lit("lost").alias("what"), F.col("node_id").alias("u"), none.alias("v"), text.alias("kind")))
+    return rows.join(lost.select("cell_id").distinct(), "cell_id", "left_semi")
+
+
+class _Cell:
+    def __init__(self, pdf: pd.DataFrame):
+        self.cell = int(pdf["cell_id"].iloc[0])
+        of = {k: g for k, g in pdf.groupby("what")}
+        pairs = lambda k: [(int(u), int(v)) for u, v in of[k][["u", "v"]].itertuples(index=False)] if k in of else []
+        nodes = lambda k: sorted({int(u) for u in of[k]["u"]}) if k in of else []
+        self.arcs = sorted(set(pairs("arc")))
+        self.doors, self.lost = nodes("door"), nodes("lost")
+        self.changes = dict(zip(pairs("change"), of["change"]["kind"], strict=True)) if "change" in of else {}
+
+    @staticmethod
+    def shut(arc: tuple[int, int], changes: dict[tuple[int, int], str]) -> bool:
+        """True if a change takes the arc: a one-way street the way from hi to lo, others both."""
+        kind = changes.get((min(arc), max(arc)))
+        return kind is not None and (kind != "one_way" or arc[0] > arc[1])
+
+    def ahead(self, changes: dict) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for a in self.arcs:
+            if not self.shut(a, changes):
+                out.setdefault(a[0], []).append(a[1])
+        return out
+
+    def reached(self, changes: dict) -> set[int]:
+        arcs = self.ahead(changes)
+        return set().union(*[_reach(d, {k: set(v) for k, v in arcs.items()}) | {d} for d in self.doors]) if self.doors else set()
+
+
+def diagnose(links: DataFrame, sectors: DataFrame, changes: DataFrame, lost: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cell_id, node_id, nearest_sector, reason) of lost nodes.
+
+    The sector is that of the nearest entry of the cell, the first by node of equals.  A node
+    is isolated if no entry reached it before; else the kinds of changes on its paths of
+    fewest streets from the entries are named.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = _Cell(pdf)
+        trees = [_before(d, cell.ahead({})) for d in cell.doors]
+        out = []
+        for node in cell.lost:
+            kinds = set()
+            for before in trees:
+                v = node
+                while v in before and before[v] != v:
+                    kinds.add(cell.changes.get((min(v, before[v]), max(v, before[v]))))
+                    v = before[v]
+            kinds.discard(None)
+            known = any(node in before for before in trees)
+            reason = "Node was already isolated in original graph" if not known else "Blocked by modifications: " + ", ".join(sorted(kinds)) if kinds else "Disconnected after modifications (complex topology)"
+            out.append((cell.cell, node, reason))
+        return pd.DataFrame(out, columns=["cell_id", "node_id", "reason"])
+
+    why = _cell_rows(links, sectors, changes, lost).groupBy("cell_id").applyInPandas(solve, "cell_id long, node_id long, reason string")
+    at = nodes.select("node_id", "x", "y")
+    here = lost.select("cell_id", "node_id").join(at, "node_id")
+    door = sectors.join(at.withColumnsRenamed({"x": "dx", "y": "dy"}), "node_id").select("cell_id", F.col("node_id").alias("door"), "sector", "dx", "dy")
+    d2 = (F.col("dx") - F.col("x")) * (F.col("dx") - F.col("x")) + (F.col("dy") - F.col("y")) * (F.col("dy") - F.col("y"))
+    near = here.join(door, "cell_id").groupBy("cell_id", "node_id").agg(F.min_by("sector", F.struct(d2.alias("d2"), "door")).alias("nearest_sector"))
+    return why.join(near, ["cell_id", "node_id"], "left").select("cell_id", "node_id", F.coalesce("nearest_sector", F.lit(0)).alias("nearest_sector"), "reason")
+
+
+def suggest(links: DataFrame, sectors: DataFrame, changes: DataFrame, lost: DataFrame) -> DataFrame:
+    """(cell_id, areas, lost, worst_lo, worst_hi, opens, advice) of cells with lost nodes.
+
+    areas counts the components of the lost nodes among themselves.  The worst change is the
+    one whose removal opens most lost nodes, the first of equals; it is named in the advice
+    if it opens more than half of them.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = _Cell(pdf)
+        lost_set, beside = set(cell.lost), {v: set() for v in cell.lost}
+        for u, v in cell.arcs:
+            if u in lost_set and v in lost_set:
+                beside[u].add(v)
+                beside[v].add(u)
+        areas, left = 0, set(lost_set)
+        while left:
+            areas += 1
+            left -= _reach(start := min(left), beside) | {start}
+        opens = {c: len(lost_set & cell.reached({k: v for k, v in cell.changes.items() if k != c})) for c in cell.changes}
+        worst = max(opens, key=lambda c: (opens[c], -c[0], -c[1]), default=None)
+        if worst is not None and not opens[worst]:
+            worst = None
+        n, advice = len(lost_set), []
+        if areas == 1 and n <= 5:
+            advice.append(f"Small isolated area ({n} nodes). Consider pedestrian-only access or delivery time windows.")
+        elif areas > 1:
+            advice.append(f"{areas} disconnected areas found. Review superblock boundary placement.")
+        if n > 10:
+            advice.append("Large number of unreachable nodes. Consider splitting superblock into smaller units.")
+        if worst is not None and opens[worst] > n * 0.5:
+            advice.append(f"Modification at edge ({worst[0]}, {worst[1]}) blocks {opens[worst]} nodes. Consider alternative placement.")
+        row = (cell.cell, areas, n, *(worst or (None, None)), opens.get(worst, 0), advice)
+        return pd.DataFrame([row], columns=["cell_id", "areas", "lost", "worst_lo", "worst_hi", "opens", "advice"]).astype({"worst_lo": "Int64", "worst_hi": "Int64"})
+
+    rows = _cell_rows(links, sectors, changes, lost)
+    return rows.groupBy("cell_id").applyInPandas(solve, "cell_id long, areas int, lost int, worst_lo long, worst_hi long, opens int, advice array<string>")
+
+
+def flagged(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edges with vehicle_blocked: true where a modal filter stands; nothing is taken away."""
+    shut = changes.where("kind = 'modal_filter'").select("lo", "hi").distinct().withColumn("vehicle_blocked", F.lit(True))
+    keyed = edges.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")})
+    return keyed.join(shut, ["lo", "hi"], "left").withColumn("vehicle_blocked", F.coalesce("vehicle_blocked", F.lit(False))).drop("lo", "hi")
+
+
+def inner_components(links: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """(cell_id, node_id, label): the smallest node of each component of a cell's inner streets."""
+    at = lambda c: F.struct(F.col("cell_id").alias("c"), F.col(c).alias("n"))
+    labels = components(_inside(links, changes).select(at("lo").alias("lo"), at("hi").alias("hi")))
+    return labels.select(F.col("node.c").alias("cell_id"), F.col("node.n").alias("node_id"), F.col("label.n").alias("label"))
 
 
 def city_totals(areas: DataFrame, changes: DataFrame, lost: DataFrame) -> DataFrame:

@@ -149,3 +149,47 @@ def street_changes(links: DataFrame, sectors: DataFrame, feats: DataFrame) -> Da
         return pd.DataFrame([(cell, a, b, "one_way" if cost[a, b] >= 6 else "modal_filter", cost[a, b]) for a, b in sorted(out)], columns=["cell_id", "lo", "hi", "kind", "cost"])
 
     return rows.groupBy("cell_id").applyInPandas(solve, "cell_id long, lo long, hi long, kind string, cost double")
+
+
+# Who may still use a street, by what is done to it.
+ACCESS = {"no_change": ["all"], "one_way": ["residents", "delivery", "emergency"], "pedestrianize": ["emergency", "delivery_hours"], "modal_filter": ["bicycle", "emergency"], "local_access": ["residents", "delivery", "emergency"]}
+
+
+def access_allowed(action: Column) -> Column:
+    return F.coalesce(*[F.when(action == k, F.array(*[F.lit(w) for w in who])) for k, who in ACCESS.items()])
+
+
+def modification_records(changes: DataFrame, edges: DataFrame, nodes: DataFrame, directions: DataFrame | None = None) -> DataFrame:
+    """A record for each changed street: cell_id, u, v, osm_id, name, modification_type, direction, filter_x, filter_y.
+
+    The first edge (u, v, key) of the street gives its id and name; a filter stands in the
+    middle of its ends.  directions (cell_id, lo, hi, direction) are those of one-way streets.
+    """
+    first = edges.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min_by(F.struct("osmid", "name"), F.struct("u", "v", "key")).alias("e"))
+    c = changes.join(first, ["lo", "hi"], "left").select("cell_id", "lo", "hi", "kind", R.positive_id(F.col("e.osmid")).alias("osm_id"), R.joined_name(F.col("e.name")).alias("name"))
+    a = nodes.select(F.col("node_id").alias("lo"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    b = nodes.select(F.col("node_id").alias("hi"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    c = c.join(a, "lo").join(b, "hi")
+    c = c.join(directions.select("cell_id", "lo", "hi", "direction"), ["cell_id", "lo", "hi"], "left") if directions is not None else c.withColumn("direction", F.lit(None).cast("string"))
+    filter_ = F.col("kind") == "modal_filter"
+    return c.select(
+        "cell_id", F.col("lo").alias("u"), F.col("hi").alias("v"), "osm_id", "name", F.col("kind").alias("modification_type"), F.when(F.col("kind") == "one_way", F.coalesce("direction", F.lit("lo_to_hi"))).alias("direction"),
+        F.when(filter_, (F.col("x1") + F.col("x2")) / 2).alias("filter_x"), F.when(filter_, (F.col("y1") + F.col("y2")) / 2).alias("filter_y"),
+    )
+
+
+def candidates(scored: DataFrame) -> DataFrame:
+    """Rows of ``score`` with what follows from them: walking metres are left to the caller; traffic_impact is null without inner roads."""
+    cut_ = F.least(F.lit(80.0), 0.8 * F.col("traffic"))
+    impact = F.struct(F.round(cut_, 1).alias("removed_through_traffic_pct"), F.round(cut_ * 0.3, 1).alias("boundary_load_increase_pct"), F.round(F.col("area_ha") * cut_ * 0.5).alias("estimated_vmt_reduction"), (F.col("interior") * 2).alias("affected_od_pairs"))
+    parts = ("size", "shape", "traffic", "access", "density", "edge")
+    return scored.select(
+        "cell_id", "area_ha", F.round("total", 1).alias("score"), F.struct(*[F.round(p, 1).alias(p) for p in parts], F.round("total", 1).alias("total")).alias("score_breakdown"),
+        F.struct(F.greatest(F.lit(4), F.floor(F.least("perimeter", F.lit(20)) / 2)).cast("int").alias("delivery_access_points"), F.lit(True).alias("emergency_access_maintained")).alias("accessibility"),
+        F.when(F.col("interior") > 0, impact).alias("traffic_impact"),
+    )
+
+
+def serialised(rows: DataFrame) -> DataFrame:
+    """(cell_id, json): parts that are null or empty are left out."""
+    return rows.select("cell_id", F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "true"}).alias("json"))

@@ -63,3 +63,32 @@ STAGES = ("network", "centrality", "detection", "scoring", "interventions", "com
 
 def stage_number(stage: Column) -> Column:
     return F.coalesce(*[F.when(stage == s, F.lit(k)) for k, s in enumerate(STAGES, 1)], F.lit(0))
+
+
+# Colour (red, green, blue, opacity) and width of roads by rank.
+ROAD_STYLE = {
+    1: ("139,0,0,255", 6.0), 2: ("220,20,60,255", 5.0), 3: ("255,69,0,255", 4.0), 4: ("255,140,0,255", 3.0), 5: ("255,215,0,255", 2.5),
+    6: ("144,238,144,255", 2.0), 7: ("152,251,152,255", 1.5), 8: ("176,196,222,255", 1.5), 9: ("211,211,211,255", 1.0), 10: ("230,230,250,255", 1.0),
+}
+PLAIN_STYLE = ("128,128,128,200", 1.5)
+
+
+def road_style(rank: Column) -> tuple[Column, Column]:
+    """Colour and width of a road; plain ones for ranks without a style."""
+    pick = lambda k: F.coalesce(*[F.when(rank == r, F.lit(s[k])) for r, s in ROAD_STYLE.items()], F.lit(PLAIN_STYLE[k]))
+    return pick(0), pick(1)
+
+
+def midpoint(line: Column) -> Column:
+    """The point in the middle of a line's list of points."""
+    return F.get(line, F.floor(F.size(line) / 2).cast("int"))
+
+
+def line_of(geometry: Column, ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
+    """A line's own points, or the straight line between its ends."""
+    return F.coalesce(geometry, F.array(F.struct(ux.alias("x"), uy.alias("y")), F.struct(vx.alias("x"), vy.alias("y"))))
+
+
+def coupled(low: Column, high: Column, gap: float, moved: str) -> tuple[Column, Column]:
+    """Limits that keep a gap: the one that wasn't moved gives way."""
+    return (low, F.greatest(low + gap, high)) if moved == "low" else (F.least(low, high - gap), high)

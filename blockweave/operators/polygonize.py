@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,12 +26,11 @@ def _without_dangles(links: DataFrame) -> DataFrame:
         links = cut(links.select("lo", "hi"))
 
 
-def faces(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(lo, hi) that meet at nodes only, and (node_id, x, y) -> face_id, n_edges, area2 (twice the signed area), nodes.
+def _labelled(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Half-edges (a, b, ax, ay, bx, by) with the label of their face, those of bridges left out.
 
     Each half-edge is followed by the one that precedes its twin counter-clockwise at its
-    end.  Cycles of that order get the smallest half-edge as label by pointer jumping;
-    bounded faces have a positive area, the outer ring of each component a negative one.
+    end.  Cycles of that order get the smallest half-edge as label by pointer jumping.
     """
     links = _without_dangles(links)
     p = nodes.select("node_id", "x", "y")
@@ -46,9 +49,75 @@ def faces(links: DataFrame, nodes: DataFrame) -> DataFrame:
         step = new.select("e", "next", "label")
         if not new.where("label <> old").limit(1).count():
             break
-    labelled = step.select(F.col("e.a").alias("a"), F.col("e.b").alias("b"), "label").join(half, ["a", "b"])
+    labelled = step.select(F.col("e.a").alias("a"), F.col("e.b").alias("b"), "label").join(half.drop("angle"), ["a", "b"])
     # A half-edge whose twin has the same face is a bridge.
     twins = labelled.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("label").alias("twin"))
-    labelled = labelled.join(twins, ["a", "b"]).where("label <> twin")
+    return cut(labelled.join(twins, ["a", "b"]).where("label <> twin").drop("twin"))
+
+
+def _areas(labelled: DataFrame) -> DataFrame:
     area2 = F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))
-    return labelled.groupBy("label").agg(F.count("*").alias("n_edges"), area2.alias("area2"), F.sort_array(F.collect_set("a")).alias("nodes")).select(F.concat_ws("-", F.col("label.a").cast("string"), F.col("label.b").cast("string")).alias("face_id"), "n_edges", "area2", "nodes")
+    return cut(labelled.groupBy("label").agg(F.count("*").alias("n_edges"), area2.alias("area2")))
+
+
+def faces(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(lo, hi) that meet at nodes only, and (node_id, x, y) -> face_id, n_edges, area2 (twice the signed area), nodes.
+
+    Bounded faces have a positive area and their nodes; the outer ring of each component
+    has a negative area and, as it may be as long as the network, no list.
+    """
+    labelled = _labelled(links, nodes)
+    areas = _areas(labelled)
+    around = labelled.join(areas.where("area2 > 0").select("label"), "label", "left_semi").groupBy("label").agg(F.sort_array(F.collect_set("a")).alias("nodes"))
+    return areas.join(around, "label", "left").select(F.concat_ws("-", F.col("label.a").cast("string"), F.col("label.b").cast("string")).alias("face_id"), "n_edges", "area2", "nodes")
+
+
+def loops(sides: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Closed walks along directed sides (a, b), each as its nodes with the first one again at the end."""
+    ahead: dict[int, list[int]] = defaultdict(list)
+    for a, b in sorted(sides, reverse=True):
+        ahead[a].append(b)
+    out = []
+    for start in sorted(ahead):
+        while ahead[start]:
+            walk, seen = [start], {start: 0}
+            while ahead[walk[-1]]:
+                b = ahead[walk[-1]].pop()
+                walk.append(b)
+                if b in seen:
+                    # A loop is closed; the walk goes on from where it began.
+                    out.append(walk[seen[b] :])
+                    for x in walk[seen[b] + 1 : -1]:
+                        del seen[x]
+                    del walk[seen[b] + 1 :]
+                else:
+                    seen[b] = len(walk) - 1
+    return out
+
+
+def ring_of(pdf: pd.DataFrame) -> list[dict[str, float]] | None:
+    """The largest loop of directed sides (a, b, ax, ay) as points; the others of a face are what touches it at a node."""
+    at = dict(zip(pdf["a"].tolist(), zip(pdf["ax"].tolist(), pdf["ay"].tolist(), strict=True), strict=True))
+    size = lambda w: abs(sum(at[p][0] * at[q][1] - at[q][0] * at[p][1] for p, q in zip(w, w[1:], strict=False)))
+    every = loops(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
+    return [{"x": at[p][0], "y": at[p][1]} for p in max(every, key=lambda w: (size(w), w))] if every else None
+
+
+RING = "ring array<struct<x:double,y:double>>"
+
+
+def rings(sides: DataFrame, key: str) -> DataFrame:
+    """(key, ring) of directed sides (key, a, b, ax, ay); the sides of one key are a group, bounded by the shape's outline."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = ring_of(pdf)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "ring": [ring]})
+
+    return sides.select(key, "a", "b", "ax", "ay").groupBy(key).applyInPandas(solve, f"{key} long, {RING}").where("ring is not null")
+
+
+def face_rings(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cell_id, ring) of the bounded faces."""
+    labelled = _labelled(links, nodes)
+    bounded = labelled.join(_areas(labelled).where("area2 > 0").select("label"), "label", "left_semi")
+    return rings(bounded.withColumn("cell_id", F.xxhash64("label.a", "label.b")), "cell_id")

@@ -49,14 +49,36 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed edges (u, v, key) with osmid, highway, lanes and maxspeed as arrays, oneway and length."""
+    """Directed edges (u, v, key) with osmid, highway, lanes and maxspeed as arrays, oneway, length and name, an array or null."""
     s = streets(spark, sf_dir)
     forward = s.withColumn("key", F.lit(0))
     back = s.where("oneway = 'no'").withColumns({"u": F.col("v"), "v": F.col("u"), "key": F.lit(0)})
     twin = s.where("s % 25 = 7").withColumns({"key": F.lit(1), "osmid": F.col("osmid") + 1, "length": F.col("length") + 5})
     every = forward.unionByName(back).unionByName(twin)
     more = F.when(F.col("s") % 13 == 0, F.array("osmid", F.col("osmid") + 1000000)).otherwise(F.array("osmid"))
-    return every.select("u", "v", "key", more.alias("osmid"), F.array("highway").alias("highway"), F.array("lanes").alias("lanes"), "oneway", F.array("maxspeed").alias("maxspeed"), "length")
+    title = F.concat(F.lit("Street "), F.least("u", "v").cast("string"))
+    names = F.when(F.col("s") % 3 == 0, F.array(title, F.lit(""), title, F.lit("Ring"))).when(F.col("s") % 3 == 1, F.array(title))
+    return every.select("u", "v", "key", more.alias("osmid"), F.array("highway").alias("highway"), F.array("lanes").alias("lanes"), "oneway", F.array("maxspeed").alias("maxspeed"), "length", names.alias("name"))
+
+
+def geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, v, key, geom) of the edges that aren't straight: those of streets with s divisible by 4, with a bend in the middle."""
+    n = nodes(spark, sf_dir)
+    bent = streets(spark, sf_dir).where("s % 4 = 0").select("u", "v")
+    bent = bent.join(n.select(F.col("node_id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy")), "u").join(n.select(F.col("node_id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy")), "v")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    middle = point((F.col("ux") + F.col("vx")) / 2 + F.lit(1 / 16384), (F.col("uy") + F.col("vy")) / 2)
+    return bent.select("u", "v", F.lit(0).alias("key"), F.array(point(F.col("ux"), F.col("uy")), middle, point(F.col("vx"), F.col("vy"))).alias("geom"))
+
+
+def of_kind(edges: DataFrame, kind: str) -> DataFrame:
+    """Edges of a network for driving, cycling or walking, or all: footways and paths carry no cars, motorways only cars."""
+    name = F.coalesce(F.get("highway", F.lit(0)), F.lit("unclassified"))
+    if kind == "all":
+        return edges
+    if kind == "drive":
+        return edges.where(~name.isin("footway", "path", "cycleway", "pedestrian", "steps"))
+    return edges.where(~name.isin("motorway", "motorway_link", *(("footway", "steps") if kind == "bike" else ())))
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:

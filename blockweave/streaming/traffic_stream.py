@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -34,3 +39,31 @@ def run_to_table(counts: DataFrame, name: str, mode: str = "complete") -> DataFr
     query = counts.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return counts.sparkSession.table(name)
+
+
+def running_load(events: DataFrame) -> DataFrame:
+    """(osmid, vehicles) after each batch for the roads that had events in it: totals are the stream's state."""
+
+    def add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (total,) = state.get if state.exists else (0,)
+        total += 37 * sum(len(b) for b in batches)
+        state.update((total,))
+        yield pd.DataFrame({"osmid": [key[0]], "vehicles": [total]})
+
+    roads = events.select((F.col("user_id") * 4).alias("osmid"), F.lit(1).alias("one"))
+    return roads.groupBy("osmid").applyInPandasWithState(add, "osmid long, vehicles long", "total long", "update", GroupStateTimeout.NoTimeout)
+
+
+def progress(stages: list[tuple[str, Callable[[], object]]], guess: float = 90.0) -> Iterator[dict]:
+    """Runs stages in turn and yields an event before each, with the share done and the seconds that remain; a failure ends with an error event."""
+    began = time.monotonic()
+    for k, (name, run) in enumerate(stages):
+        percent, elapsed = 100 * k // len(stages), time.monotonic() - began
+        left = guess if not percent else max(0.0, elapsed / (percent / 100) - elapsed)
+        yield {"type": "progress", "stage": name, "percent": percent, "message": f"{name} ({k + 1}/{len(stages)})", "remaining": left}
+        try:
+            run()
+        except Exception as e:
+            yield {"type": "error", "stage": name, "percent": percent, "message": str(e)}
+            return
+    yield {"type": "complete", "stage": "complete", "percent": 100, "message": "done"}

@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from blockweave.plans.catalog import ORACLE_SQL, QUERIES
+from blockweave.plans.all import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
