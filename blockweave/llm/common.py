@@ -78,13 +78,16 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> D
     """Inner join with a table of one row for each key, which says how many rows of ``left`` have the key.
 
     Keys with more than a thousandth of all rows, fewer than a thousand by that count, are
-    sent to all tasks, so that their rows stay where they are; the other rows meet by key.
+    told by a hash.  Their rows are sent to all tasks, so that the rows of ``left`` stay
+    where they are; the other rows meet by key.
     """
-    right = cut(right)
+    right, code = cut(right), F.xxhash64(*on)
     least = (right.agg(F.sum(weight)).first()[0] or 0) // HOT
-    hot = F.broadcast(right.where(F.col(weight) > least))
-    cold = left.join(F.broadcast(right.where(F.col(weight) > least).select(*on)), on, "left_anti")
-    return left.join(hot, on).unionByName(cold.join(right.where(F.col(weight) <= least), on)).drop(weight)
+    hot = [r[0] for r in right.where(F.col(weight) > least).select(code).collect()]
+    if not hot:
+        return left.join(right, on).drop(weight)
+    here = left.where(code.isin(hot)).join(F.broadcast(right.where(code.isin(hot))), on)
+    return here.unionByName(left.where(~code.isin(hot)).join(right.where(~code.isin(hot)), on)).drop(weight)
 
 
 def sample_by_hash(df: DataFrame, limit: int, *by: str, id_col: str, text_col: str | None = None, seed: int = 7) -> DataFrame:
