@@ -25,7 +25,9 @@ from, only the patterns count.  ``redact`` passes on all columns, whatever their
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from blockweave.llm.common import sample_by_hash
 
-SAMPLE, MAX_CHARS, MAX_WORDS, MAX_LINES = 2500, 20_000, 400, 2500
+SAMPLE, MAX_CHARS, MAX_WORDS, MAX_LINES, PLANTED = 2500, 20_000, 400, 2500, 600
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -234,25 +236,74 @@ class Field:
         return [tuple(x) for x in out]
 
 
+#: Alphabets of made-up secrets.
+ALPHABETS = tuple(re.sub("a", string.ascii_lowercase, re.sub("A", string.ascii_uppercase, re.sub("9", string.digits, x))) for x in ("aA9", "aA9_-", "aA9+/", "A9", "9ABCDEF", "a9"))
+
+
+def made_up(turn: random.Random) -> str:
+    """A random string of the shapes that secrets have: an alphabet, a length, with or without a prefix, in one or several parts."""
+    body = lambda n: "".join(turn.choices(turn.choice(ALPHABETS), k=n))
+    prefix = turn.choice(("", "", "a_", "a-", "A", "aa_", "Aa"))
+    prefix = "".join(turn.choice(string.ascii_lowercase if c == "a" else string.ascii_uppercase) * 1 if c in "aA" else c for c in prefix.replace("a", "aaa").replace("A", "AAA"))
+    if turn.random() < 0.15:
+        return prefix + ".".join(body(turn.randrange(12, 50)) for _ in range(3))
+    return prefix + body(turn.randrange(16, 60)) + turn.choice(("", "", "", "=", "=="))
+
+
+def varied(line: str, spans: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The line with made-up secrets in the place of its own, half of them without the keyword before it; spans are (start of the match, start of the secret, end)."""
+    turn = random.Random(hashlib.md5(line.encode("utf-8", "surrogatepass")).digest())
+    out, found, at = "", [], 0
+    for whole, start, end in spans:
+        if whole < at:
+            continue
+        out += line[at : whole if turn.random() < 0.5 else start]
+        secret = made_up(turn)
+        found.append((len(out), len(out) + len(secret)))
+        out, at = out + secret, end
+    return out + line[at:], found
+
+
 def _examples(texts: list[str]) -> list[tuple[list[str], list[int], tuple[str, ...]]]:
-    """Lines with a secret, and as many others, as tokens, labels and file features; long lines as parts of 120 tokens."""
+    """Lines with a secret, the same with made-up secrets in their place, and others, as tokens, labels and file features; long lines as parts of 120 tokens.
+
+    Made-up secrets, also between the words of lines without any, teach the shape of
+    secrets in general in place of the patterns' few.
+    """
     good, plain = [], []
     for text in texts:
-        spans = sorted((s, e) for _, _, e, s in pattern_spans(text))
-        starts = [s for s, _ in spans]
-        about, at = file_traits(text), 0
+        spans = sorted((s, e, whole) for whole, _, e, s in pattern_spans(text))
+        whole, at = file_traits(text), 0
         for x in text.split("\n"):
-            found = [(m[0], m.start() + at, m.end() + at) for m in TOKEN.finditer(x)]
+            here = [(w - at, s - at, e - at) for s, e, w in spans if at <= w and e <= at + len(x)]
+            lines = [(x, [(s, e) for _, s, e in here], whole)]
+            if here:
+                new, secrets = varied(x, here)
+                lines.append((new, secrets, file_traits(text[:at] + new + text[at + len(x) :])))
             at += len(x) + 1
-            for k in range(0, len(found), 120):
-                part, labels = found[k : k + 120], []
-                for _, a, b in part:
-                    i = bisect_right(starts, b - 1) - 1
-                    inside = i >= 0 and spans[i][1] > a
-                    labels.append(OUT if not inside else BEGIN if a <= spans[i][0] or not labels or labels[-1] == OUT else INSIDE)
-                (good if any(labels) else plain).append(([t for t, _, _ in part], labels, about))
+            for line, secrets, about in lines:
+                starts = [s for s, _ in secrets]
+                found = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(line)]
+                for k in range(0, len(found), 120):
+                    part, labels = found[k : k + 120], []
+                    for _, a, b in part:
+                        i = bisect_right(starts, b - 1) - 1
+                        inside = i >= 0 and secrets[i][1] > a
+                        labels.append(OUT if not inside else BEGIN if a <= secrets[i][0] or not labels or labels[-1] == OUT else INSIDE)
+                    (good if any(labels) else plain).append(([t for t, _, _ in part], labels, about))
     order = sorted(plain, key=lambda x: hashlib.md5(" ".join(x[0]).encode("utf-8", "surrogatepass")).digest())
-    return good[:MAX_LINES] + order[: max(200, min(MAX_LINES, 3 * len(good)))]
+    # Lines with addresses, numbers and the like tell most about what isn't a secret.
+    hard = [x for x in order if any(len(t) >= 8 and not t.isalpha() for t in x[0])][:PLANTED]
+    order, good = order[: max(PLANTED, min(MAX_LINES, 3 * len(good)))], good[: 2 * MAX_LINES]
+    return good + [planted(x) for x in order[: max(PLANTED, len(good))]] + order + hard
+
+
+def planted(example: tuple) -> tuple:
+    """A line with a made-up secret between two of its tokens."""
+    tokens, labels, about = example
+    turn = random.Random(hashlib.md5(" ".join(tokens).encode("utf-8", "surrogatepass")).digest())
+    secret, k = TOKEN.findall(made_up(turn)), turn.randrange(len(tokens) + 1)
+    return tokens[:k] + secret + tokens[k:], labels[:k] + [BEGIN] + [INSIDE] * (len(secret) - 1) + labels[k:], about
 
 
 def fit(texts: list[str], epochs: int = 8, rate: float = 0.5, ridge: float = 1e-3) -> Field | None:

@@ -116,3 +116,30 @@ def test_odd_texts_and_redaction(spark):
     assert clean.where("doc_id = 3").first()["text"] == "x [SECRET] y"
     assert clean.where("doc_id = 6").first()["n_chars"] == len("[SECRET] [SECRET]")
     assert S.scan(some.limit(0), None).count() == 0 and S.train(some.limit(0)) is None
+
+
+def unseen_secrets(turn):
+    """Secrets of kinds that no pattern knows and no training text holds."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = lambda n, alphabet: "".join(turn.choices(alphabet, k=n))
+    mixed = letters + letters.upper() + "0123456789"
+    return {
+        "ghp": "ghp_" + some(36, mixed), "live": "sk_live_" + some(24, mixed), "bot": f"xoxb-{some(11, '0123456789')}-{some(24, mixed)}", "maps": "AIza" + some(35, mixed), "npm": "npm_" + some(36, mixed),
+        "signed": f"eyJ{some(33, mixed)}.eyJ{some(60, mixed)}.{some(43, mixed)}", "lab": "glpat-" + some(20, mixed), "base64": some(40, mixed + "+/") + "==",
+    }
+
+
+def test_recall_of_unseen_kinds(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r["text"] and len(r["text"]) <= 20_000]
+    field, turn = S.fit(texts[:600]), random.Random(5)
+    words = " ".join(texts[:20]).split()
+    found = total = 0
+    for _ in range(15):
+        for secret in unseen_secrets(turn).values():
+            before, after = (" ".join(turn.sample(words, 6)) for _ in range(2))
+            text = turn.choice(["{b} use key {s} for it {a}", "{s}", "{b} {s} {a}", "config {s} {b}"]).format(b=before, s=secret, a=after)
+            at = text.index(secret)
+            found += any(s < at + len(secret) and at < e for s, _, e in S.all_spans(text, field)[1])
+            total += 1
+    assert found >= 0.85 * total
+    assert sum(k == 3 for t in texts[600:] for _, k, _ in S.all_spans(t, field)[1]) <= 1
