@@ -115,4 +115,25 @@ c AS (SELECT q.a AS r, min(d.doc_id) AS component_id FROM q JOIN d ON d.r = q.b
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id, component_id IS NULL OR doc_id = component_id AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op7_near_dedup": _OP7, "op9_mix_sources": _OP9}
+_OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
+a AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+b AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM a WHERE len(w) >= 3),
+c AS (SELECT r, k, count(*) OVER (PARTITION BY r, list_slice(w, k, k + 2)) AS n FROM b),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM c WHERE n > 1) GROUP BY r),
+e AS (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d),
+f AS (SELECT r, host, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars, regexp_replace(array_to_string(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), ' '), '[0-9]+', '0', 'g') AS norm FROM e),
+g AS (SELECT * FROM f WHERE chars > 0),
+s AS (SELECT r, sum(chars) AS word_chars, count(*) - count(DISTINCT line) AS n_dup FROM g GROUP BY r),
+h AS (SELECT r, md5(string_agg(DISTINCT norm, chr(10) ORDER BY norm)) AS whole FROM g GROUP BY r),
+i AS (SELECT DISTINCT host, norm, whole FROM g JOIN h USING (r)),
+j AS (SELECT host, norm FROM i GROUP BY host, norm HAVING count(*) > 10),
+l AS (SELECT r, sum(chars) AS boilerplate FROM g JOIN j USING (host, norm) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(boilerplate, 0) AS BIGINT) AS boilerplate_chars
+      FROM d JOIN a USING (r) LEFT JOIN rep USING (r) LEFT JOIN s USING (r) LEFT JOIN l USING (r)),
+o AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT (word_chars - boilerplate_chars < word_chars * 0.2::DOUBLE) AS kept FROM o
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_quality": _OP5, "op1_decontaminate": _OP1, "op7_near_dedup": _OP7, "op9_mix_sources": _OP9}

@@ -1,6 +1,9 @@
+import random
 import re
 from collections import Counter
 
+import duckdb
+
 import corpus_pipeline as P
 from blockweave.llm import line_quality as Q
 from blockweave.llm import registry
@@ -85,3 +88,50 @@ def test_a_large_host_has_no_higher_limit(spark):
     kept = P.quality_rules(spark, docs(spark, texts), "").collect()
     assert sorted(r["text"] for r in kept) == sorted(own(k) for k in range(12))
     assert all(r["n_chars"] == len(r["text"]) for r in kept)
+
+
+def columns(rows, names):
+    return sorted(str(tuple(r[n] for n in names)) for r in rows)
+
+
+def test_sample_same_as_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SAMPLE}/documents.parquet')")
+    want = con.execute(registry.ORACLE_SQL["op5_line_quality"]).df()
+    got = registry.op5_line_quality(spark, SAMPLE)
+    assert columns(got.collect(), sorted(want.columns)) == columns(want.to_dict("records"), sorted(want.columns))
+
+
+def test_verdict_over_several_hosts_same_as_brute_force(spark, tmp_path):
+    """Documents of three hosts with shared lines in 3 to 40 of them, copies and depleted ones."""
+    turn = random.Random(8)
+    shared = [" ".join(f"notice {name(m)} {name(j)}" for j in range(turn.randrange(5, 60))) for m in range(12)]
+    rows = []
+    for k in range(240):
+        host = turn.choice(["a", "b", None])
+        lines = [own(k)[: turn.choice([40, 400])]] + [x for m, x in enumerate(shared) if turn.random() < (m + 1) / 40]
+        turn.shuffle(lines)
+        rows.append((k, "\n".join(lines), "en", host, 0))
+    rows += [(1000 + k, *rows[turn.randrange(240)][1:]) for k in range(60)] + [(None, None, "en", "a", 0), (5, "", "en", "a", 0)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs_.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {}
+    for i, (_, text, _, host, _) in enumerate(rows):
+        texts[i] = host, {Q.normal_line(x) for x in (text or "").split("\n") if x.strip()}, text or ""
+    wholes = {}
+    for host, lines, _ in texts.values():
+        for x in lines:
+            wholes.setdefault((host, x), set()).add(frozenset(lines))
+    want = []
+    for i, row in enumerate(rows):
+        host, _, text = texts[i]
+        n, chars, _, _, repeat = brute(text)
+        gone = sum(len("".join(x.split())) for x in text.split("\n") if x.strip() and len(wholes[host, Q.normal_line(x)]) > 10)
+        failed = n < 50 or 100 * repeat > 50 * n
+        want.append((row[0], gone, not failed and chars - gone >= 0.2 * chars))
+    judged = Q.judge(docs_).collect()
+    assert columns(judged, ["doc_id", "boilerplate_chars", "kept"]) == sorted(map(str, want))
+    assert {k for _, _, k in want} == {True, False} and sum(g > 0 for _, g, _ in want) > 50
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted((str(i), int(g), bool(k)) for i, g, k in con.execute(f"select doc_id, boilerplate_chars, kept from ({registry.ORACLE_SQL['op5_line_quality']})").fetchall()) == sorted((str(i), g, k) for i, g, k in want)
