@@ -79,15 +79,15 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> D
 
     Keys with more than a thousandth of all rows, fewer than a thousand by that count, are
     told by a hash.  Their rows are sent to all tasks, so that the rows of ``left`` stay
-    where they are; the other rows meet by key.
+    where they are; the other rows meet by key, in a merge join at every size.
     """
     right, code = cut(right), F.xxhash64(*on)
     least = (right.agg(F.sum(weight)).first()[0] or 0) // HOT
     hot = [r[0] for r in right.where(F.col(weight) > least).select(code).collect()]
     if not hot:
-        return left.join(right, on).drop(weight)
+        return left.join(right.hint("merge"), on).drop(weight)
     here = left.where(code.isin(hot)).join(F.broadcast(right.where(code.isin(hot))), on)
-    return here.unionByName(left.where(~code.isin(hot)).join(right.where(~code.isin(hot)), on)).drop(weight)
+    return here.unionByName(left.where(~code.isin(hot)).join(right.where(~code.isin(hot)).hint("merge"), on)).drop(weight)
 
 
 def sample_by_hash(df: DataFrame, limit: int, *by: str, id_col: str, text_col: str | None = None, seed: int = 7) -> DataFrame:

@@ -25,11 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("beside")).alias("label")).coalesce(tasks))
     degree = cut(both.groupBy("beside").agg(F.count("*").alias("w")).coalesce(tasks))
     while True:
-        theirs = labels.select(F.col("node").alias("beside"), F.col("label").alias("l")).join(degree, "beside").coalesce(tasks)
+        theirs = labels.select(F.col("node").alias("beside"), F.col("label").alias("l")).join(degree.hint("merge"), "beside").coalesce(tasks)
         near = join_hot(both, theirs, ["beside"], "w").groupBy("node").agg(F.min("l").alias("near"))
-        stepped = cut(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")).coalesce(tasks))
+        stepped = cut(labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")).coalesce(tasks))
         sizes = stepped.groupBy("label").agg(F.count("*").alias("w"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next")).join(sizes, "label").coalesce(tasks)
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next")).join(sizes.hint("merge"), "label").coalesce(tasks)
         new = cut(join_hot(stepped, jump, ["label"], "w").select("node", "old", F.least("label", "next").alias("label")).coalesce(tasks))
         labels = new.select("node", "label")
         if not new.where("label <> old").limit(1).count():

@@ -173,10 +173,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, centres: DataFram
     salts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")))
     left = salts.join((sets if centres is None else centres).select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     # Both sides know a pivot's number of salts; the pairs get it with their salt.
-    right = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    right = right.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
+    right = pairs.join(salts.hint("merge"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    right = right.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
     inter = F.size(F.array_intersect("items_a", "items_b")).cast("long")
-    out = right.join(left.select("a", "salt", "items_a"), ["a", "salt"]).select("a", "b", inter.alias("inter"), (F.size("items_a") + F.size("items_b")).cast("long").alias("sizes"))
+    out = right.join(left.select("a", "salt", "items_a").hint("merge"), ["a", "salt"]).select("a", "b", inter.alias("inter"), (F.size("items_a") + F.size("items_b")).cast("long").alias("sizes"))
     out = out.select("a", "b", "inter", (F.col("sizes") - F.col("inter")).alias("total"))
     return cut(out.withColumn("linked", 100 * F.col("inter") >= percent * F.col("total")))
 
@@ -198,7 +198,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members, with their labels, of buckets that hold several components."""
-    place = cut(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    place = cut(members.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     several = place.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("w")).where("l < m").select("bucket", "w")
     return cut(join_hot(place, several, ["bucket"], "w"))
 
@@ -239,18 +239,18 @@ def _beside_centre(members: DataFrame, star: DataFrame, sets: DataFrame, labels:
     centres = cut(centres.union(first.select(F.col("label").alias("node"), "items")))
     known = _verified(cut(place.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), sets, percent, centres)
     distance = known.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("total")).alias("d"))
-    place = cut(place.join(distance, ["centre", "node"]).select("bucket", "node", "n", "d"))
+    place = cut(place.join(distance.hint("merge"), ["centre", "node"]).select("bucket", "node", "n", "d"))
     heart = place.groupBy("bucket").agg(F.min(F.struct("d", "node")).alias("m"), F.count("*").alias("w")).select("bucket", F.col("m.node").alias("a"), "w")
     again = join_hot(place, heart, ["bucket"], "w").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    tried = _verified(cut(again.join(star.select("a", "b"), ["a", "b"], "left_anti")), sets, percent)
+    tried = _verified(cut(again.join(star.select("a", "b").hint("merge"), ["a", "b"], "left_anti")), sets, percent)
     labels = _merged(labels, tried.where("linked").select("a", "b"))
-    place = cut(_mixed(place, labels).join(sets.select("node", "parity"), "node"))
+    place = cut(_mixed(place, labels).join(sets.select("node", "parity").hint("merge"), "node"))
     x, y = place.alias("x"), place.alias("y")
     near = F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & near & ~_apart("x", "y", percent))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     done = star.select("a", "b").union(tried.select(F.least("a", "b"), F.greatest("a", "b")))
-    rest = cut(rest.join(done, ["a", "b"], "left_anti"))
+    rest = cut(rest.join(done.hint("merge"), ["a", "b"], "left_anti"))
     if not rest.limit(1).count():
         return labels
     return _merged(labels, _verified(rest, sets, percent).where("linked").select("a", "b"))
@@ -268,16 +268,16 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1").select("bucket", F.col("p.node").alias("pivot"), "c")
     members = cut(join_hot(members, shared, ["bucket"], "c"))
     pairs = cut(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"))
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key").hint("merge"), "node"))
     made = slim.mapInArrow(_set_maker(width, _bitmap(wanted)), "key long, items array<long>, parity array<long>")
-    sets = cut(wanted.join(made, "key").groupBy("node").agg(F.first("items").alias("items"), F.first("parity").alias("parity")))
+    sets = cut(wanted.hint("merge").join(made, "key").groupBy("node").agg(F.first("items").alias("items"), F.first("parity").alias("parity")))
     star = _verified(pairs, sets, percent)
     labels = components(star.where("linked").select("a", "b"))
     labels = _beside_centre(members, star, sets, labels, percent)
-    named = cut(nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    named = cut(nodes.select("node", "first_id").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("w"))
     named = join_hot(named, ids, ["label"], "w").select("node", "component_id")
-    out = sketched.drop("bands").join(named, "node", "left")
+    out = sketched.drop("bands").join(named.hint("merge"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("key", "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
