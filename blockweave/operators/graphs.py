@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.functions.lineage import cut
+from blockweave.operators.wide_graphs import edge_shares
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -77,17 +78,19 @@ def betweenness(links: DataFrame, pivots: int | Callable[[int], int | None] | No
     """(lo, hi, length) -> (lo, hi, centrality): share of all shortest paths that use the edge.
 
     Sources are spread over tasks; each task gets the links of the network, whose number
-    is checked before they are sent.  With pivots (a number, or one by the number of nodes)
+    is checked before they are sent.  Above ``most_links`` paths are found by rounds of
+    joins instead, with the same result.  With pivots (a number, or one by the number of nodes)
     only that many sources are used, those whose hash is smallest, and the result is scaled.
     """
-    n_links = links.count()
-    if n_links > most_links:
-        raise ValueError(f"{n_links} links are too many to send to each task; partition the network first")
     sources = cut(links.select(F.explode(F.array("lo", "hi")).alias("source")).distinct())
     n = sources.count()
     pivots = pivots(n) if callable(pivots) else pivots
     chosen = sources if pivots is None or pivots >= n else sources.orderBy(F.xxhash64("source"), "source").limit(pivots)
     k = n if pivots is None else min(pivots, n)
+    scale = (n / k) / (n * (n - 1)) if n > 1 else 0.0
+    if links.count() > most_links:
+        sums = edge_shares(links, cut(chosen))
+        return links.select("lo", "hi").join(sums, ["lo", "hi"], "left").select("lo", "hi", (F.coalesce("share", F.lit(0.0)) * F.lit(scale)).alias("centrality"))
     beside = defaultdict(list)
     for r in links.select("lo", "hi", "length").toLocalIterator():
         beside[r[0]].append((r[1], r[2]))
@@ -104,5 +107,4 @@ def betweenness(links: DataFrame, pivots: int | Callable[[int], int | None] | No
 
     spread = chosen.repartition(max(1, min(k, 4 * links.sparkSession.sparkContext.defaultParallelism)), "source")
     sums = spread.mapInPandas(run, "lo long, hi long, share double").groupBy("lo", "hi").agg(F.sum("share").alias("share"))
-    scale = (n / k) / (n * (n - 1)) if n > 1 else 0.0
     return links.select("lo", "hi").join(sums, ["lo", "hi"], "left").select("lo", "hi", (F.coalesce("share", F.lit(0.0)) * F.lit(scale)).alias("centrality"))
