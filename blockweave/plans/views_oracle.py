@@ -70,3 +70,47 @@ se AS (SELECT cell_id, node_id, least(CAST(floor((a - 2 * pi() * floor(a / (2 *
 dr AS (SELECT cell_id, label, sector, count(*) AS n FROM se JOIN ic USING (cell_id, node_id) GROUP BY 1, 2, 3)
 SELECT p.cell_id, p.sector AS sector_a, q.sector AS sector_b, CAST(sum(p.n * q.n) AS BIGINT) AS pairs FROM dr p JOIN dr q ON p.cell_id = q.cell_id AND p.label = q.label AND p.sector < q.sector GROUP BY 1, 2, 3""",
 }
+
+#: Least costs from the origins of all requests, and the nodes of each request's path, the smallest predecessor of equals.
+ROUTES = """, h AS (SELECT a.address_id, n.node_id, (n.x - a.x) * (n.x - a.x) + (n.y - a.y) * (n.y - a.y) AS d2 FROM addr a JOIN nodes2 n ON abs(n.x - a.x) <= 0.005 AND abs(n.y - a.y) <= 0.005),
+nn AS (SELECT address_id, arg_min(node_id, (d2, node_id)) AS node_id FROM h GROUP BY 1),
+rq AS (SELECT p.address_id AS request_id, p.node_id AS o, q.node_id AS d FROM nn p JOIN nn q ON q.address_id = p.address_id + 1 WHERE p.address_id % 2 = 0),
+pr AS (SELECT u, v, min(length * CASE WHEN highway IN ('primary', 'secondary', 'tertiary') THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END) AS c FROM e WHERE {where} GROUP BY 1, 2),
+og AS (SELECT DISTINCT o FROM rq),
+r(o, node, cost) USING KEY (o, node) AS (SELECT o, o, 0.0::DOUBLE FROM og
+  UNION SELECT r.o, pr.v, min(r.cost + pr.c) FROM r JOIN pr ON pr.u = r.node LEFT JOIN recurring.r AS q ON q.o = r.o AND q.node = pr.v WHERE q.cost IS NULL OR q.cost > r.cost + pr.c GROUP BY r.o, pr.v),
+rm AS MATERIALIZED (SELECT o, node, cost FROM r),
+nr AS MATERIALIZED (SELECT rm.o, rm.node, rm.cost FROM rm JOIN (SELECT rq.o, max(rm.cost) AS far FROM rq JOIN rm ON rm.o = rq.o AND rm.node = rq.d GROUP BY 1) m ON m.o = rm.o AND rm.cost <= m.far),
+bf AS MATERIALIZED (SELECT p.o, pr.v AS node, min(p.node) AS came FROM nr p JOIN pr ON pr.u = p.node JOIN nr x ON x.o = p.o AND x.node = pr.v AND x.cost = p.cost + pr.c WHERE x.node <> x.o GROUP BY 1, 2),
+pa(request_id, o, node, back) AS (SELECT request_id, rq.o, d, 0 FROM rq JOIN rm ON rm.o = rq.o AND rm.node = rq.d UNION ALL SELECT request_id, pa.o, came, back + 1 FROM pa JOIN bf ON bf.o = pa.o AND bf.node = pa.node)
+"""
+FREE = RECURSIVE + ROUTES.format(where="true")
+SEGMENTS = (
+    FREE
+    + """, sp AS (SELECT request_id, lead(node) OVER w AS u, node AS v, back FROM pa WINDOW w AS (PARTITION BY request_id ORDER BY back)),
+be AS (SELECT u, v, arg_min(length, (length, key)) AS length, arg_min(highway, (length, key)) AS highway FROM e GROUP BY 1, 2),
+sg AS (SELECT request_id, -back AS k, length, highway FROM sp JOIN be USING (u, v)),
+mk AS (SELECT *, CASE WHEN highway = lag(highway) OVER (PARTITION BY request_id ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM sg),
+nu AS (SELECT *, sum(fresh) OVER (PARTITION BY request_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM mk),
+seg AS (SELECT request_id, CAST(segment AS BIGINT) AS segment, highway, count(*) AS steps, sum(length) AS length FROM nu GROUP BY 1, 2, 3)
+"""
+)
+VIEWS_SQL |= {
+    "components": RECURSIVE + """, ar AS (SELECT lo AS a, hi AS b FROM simple UNION ALL SELECT hi, lo FROM simple),
+r(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM ar UNION SELECT ar.b, min(r.label) FROM r JOIN ar ON ar.a = r.node JOIN recurring.r AS q ON q.node = ar.b WHERE r.label < q.label GROUP BY ar.b)
+SELECT node, label FROM r""",
+    "entry_reach": RECURSIVE + ENTRIES + """, de AS (SELECT DISTINCT u, v FROM e),
+r(node, hops) USING KEY (node) AS (SELECT DISTINCT node_id, 0 FROM en UNION SELECT de.v, min(r.hops) + 1 FROM r JOIN de ON de.u = r.node LEFT JOIN recurring.r AS q ON q.node = de.v WHERE q.node IS NULL GROUP BY de.v)
+SELECT node, hops FROM r""",
+    "routes_after_changes": RECURSIVE + ROUTES.format(where="least(u, v) % 7 <> 0 AND NOT (least(u, v) % 11 = 0 AND u > v)") + "SELECT request_id, cost FROM rq LEFT JOIN rm ON rm.o = rq.o AND rm.node = rq.d",
+    "route_costs": FREE + ", le AS (SELECT request_id, CAST(count(*) AS INTEGER) AS n_nodes FROM pa GROUP BY 1) SELECT request_id, cost, n_nodes FROM rq LEFT JOIN rm ON rm.o = rq.o AND rm.node = rq.d LEFT JOIN le USING (request_id)",
+    "route_segments": SEGMENTS + "SELECT request_id, segment, highway, steps, length FROM seg",
+    "route_summary": SEGMENTS + """, su AS (SELECT request_id, sum(length) AS m, sum(length / 1000 / CASE WHEN highway IN ('primary', 'secondary', 'tertiary') THEN 40.0::DOUBLE WHEN highway = 'residential' THEN 25 ELSE 20 END * 60) AS minutes, sum(CASE WHEN highway IN ('primary', 'secondary', 'tertiary') THEN length ELSE 0.0::DOUBLE END) AS a FROM seg GROUP BY 1)
+SELECT request_id, round(m / 1000, 3) AS km, round(minutes, 3) AS minutes, CASE WHEN m > 0 THEN round(100 * a / m, 1) ELSE 100.0::DOUBLE END AS arterial_percent FROM su""",
+    "route_changes": SEGMENTS.replace(", seg AS", ", seg0 AS") + PLAN + """, st3 AS (SELECT request_id, kind FROM sp JOIN plan ON lo = least(u, v) AND hi = greatest(u, v))
+SELECT request_id, count(*) AS streets, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS kinds FROM st3 GROUP BY 1""",
+    "size_recommendation": BASE + """, tt AS (SELECT sum(length) AS total, sum(CASE WHEN uy = vy THEN length ELSE 0 END) AS flat FROM ends), kk AS (SELECT count(*) AS n FROM nodes),
+bb AS (SELECT total / greatest(1.0::DOUBLE, n / 4.0::DOUBLE) / 4 AS block, CASE WHEN flat >= total - flat THEN 2.5::DOUBLE ELSE 92.5::DOUBLE END AS o FROM tt, kk),
+ss AS (SELECT 300.0::DOUBLE AS min_side, least(CASE WHEN block * 3.5 BETWEEN 300 AND 500 THEN block * 3.5 ELSE 400.0::DOUBLE END, 420.0::DOUBLE) AS side, 500.0::DOUBLE AS max_side, o * 0.9::DOUBLE + 0.1::DOUBLE * 15 AS orientation FROM bb)
+SELECT min_side, side, max_side, orientation, 1.0::DOUBLE AS regularity, min_side * min_side / 10000 AS min_ha, side * side / 10000 AS ha, max_side * max_side / 10000 AS max_ha FROM ss""",
+}
