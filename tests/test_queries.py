@@ -34,7 +34,11 @@ def test_same_rows_as_sql(spark, con, name):
     assert sorted(repr([plain(r[c]) for c in sorted(columns)]) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+#: Queries whose work is part of another one's here.
+INSIDE = {"city_cells_sized", "city_blocks", "analysis_candidates", "block_route_segments"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - INSIDE))
 def test_other_queries_have_rows(spark, name):
     rows = QUERIES[name](spark, SF).count()
     # Changes are there to leave no violation.
