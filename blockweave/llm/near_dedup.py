@@ -171,7 +171,7 @@ def _bitmap(keys: DataFrame):
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, centres: DataFrame | None = None) -> DataFrame:
     """(a, b) -> (a, b, inter, total, linked), on full sets; ``a`` may be hot, and is one of the centres if any are given."""
     salts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")))
-    left = salts.join((sets if centres is None else centres).select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = salts.join((sets if centres is None else centres).select(F.col("node").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     # Both sides know a pivot's number of salts; the pairs get it with their salt.
     right = pairs.join(salts.hint("merge"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
     right = right.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
@@ -185,14 +185,14 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links (a, b); components that are linked get the smallest label."""
     label = lambda c: F.coalesce(F.col("l_" + c), F.col(c))
     for c in ("a", "b"):
-        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias("l_" + c)), c, "left")
+        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias("l_" + c)).hint("merge"), c, "left")
     links = cut(links.select(label("a").alias("a"), label("b").alias("b")).where("a <> b").distinct())
     if not links.limit(1).count():
         return labels
     over = components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    known = labels.groupBy("label").agg(F.count("*").alias("w")).join(over, "label", "left")
+    known = labels.groupBy("label").agg(F.count("*").alias("w")).join(over.hint("merge"), "label", "left")
     renamed = join_hot(labels, known, ["label"], "w").select("node", F.coalesce("top", "label").alias("label"))
-    alone = over.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    alone = over.join(labels.select(F.col("node").alias("label")).hint("merge"), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
     return cut(renamed.union(alone))
 
 
@@ -228,14 +228,14 @@ def _beside_centre(members: DataFrame, star: DataFrame, sets: DataFrame, labels:
     chief = place.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("w")).select("bucket", F.col("m.label").alias("centre"), "w")
     place = cut(join_hot(place, chief, ["bucket"], "w"))
     wanted = place.select(F.col("centre").alias("label")).distinct()
-    some = cut(place.select("node", "label").distinct().join(wanted, "label", "left_semi").join(sets.select("node", "items"), "node"))
+    some = cut(place.select("node", "label").distinct().join(wanted.hint("merge"), "label", "left_semi").join(sets.select("node", "items").hint("merge"), "node"))
     items = some.select("label", F.explode("items").alias("item")).groupBy("label", "item").agg(F.count("*").alias("c"))
     # A large component's elements meet its size in several tasks.
     sizes = cut(some.groupBy("label").agg(F.count("*").alias("size"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTNERS - 1))))
-    half = items.withColumn("salt", F.pmod("item", F.lit(PARTNERS)).cast("int")).join(sizes, ["label", "salt"]).where("2 * c >= size")
+    half = items.withColumn("salt", F.pmod("item", F.lit(PARTNERS)).cast("int")).join(sizes.hint("merge"), ["label", "salt"]).where("2 * c >= size")
     centres = cut(half.groupBy(F.col("label").alias("node")).agg(F.collect_list("item").alias("items")))
     # Texts of a component that drifts may share no element; any set of elements serves as centre.
-    first = some.join(centres.select(F.col("node").alias("label")), "label", "left_anti").groupBy("label").agg(F.min_by("items", "node").alias("items"))
+    first = some.join(centres.select(F.col("node").alias("label")).hint("merge"), "label", "left_anti").groupBy("label").agg(F.min_by("items", "node").alias("items"))
     centres = cut(centres.union(first.select(F.col("label").alias("node"), "items")))
     known = _verified(cut(place.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), sets, percent, centres)
     distance = known.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("total")).alias("d"))
@@ -247,7 +247,7 @@ def _beside_centre(members: DataFrame, star: DataFrame, sets: DataFrame, labels:
     place = cut(_mixed(place, labels).join(sets.select("node", "parity").hint("merge"), "node"))
     x, y = place.alias("x"), place.alias("y")
     near = F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & near & ~_apart("x", "y", percent))
+    rest = x.join(y.hint("merge"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & near & ~_apart("x", "y", percent))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     done = star.select("a", "b").union(tried.select(F.least("a", "b"), F.greatest("a", "b")))
     rest = cut(rest.join(done.hint("merge"), ["a", "b"], "left_anti"))
