@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import decontaminate, html_text, language_id, line_quality, mixing, near_dedup, secrets, token_count, toxicity, url_templates
+from blockweave.llm import decontaminate, exact_dedup, html_text, language_id, line_quality, mixing, near_dedup, secrets, token_count, toxicity, url_templates
 from blockweave.llm.common import read
 
 
@@ -55,6 +55,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.group(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_html_text": op10_html_text,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 _OP9 = r"""
@@ -136,4 +141,10 @@ o AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND NOT (word_chars - boilerplate_chars < word_chars * 0.2::DOUBLE) AS kept FROM o
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_quality": _OP5, "op1_decontaminate": _OP1, "op7_near_dedup": _OP7, "op9_mix_sources": _OP9}
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(length(text), 0) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST, r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_exact_dedup": _OP12, "op5_line_quality": _OP5, "op1_decontaminate": _OP1, "op7_near_dedup": _OP7, "op9_mix_sources": _OP9}
