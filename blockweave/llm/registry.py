@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import decontaminate, exact_dedup, html_text, language_id, line_quality, mixing, near_dedup, secrets, token_count, toxicity, url_templates
+from blockweave.llm import decontaminate, exact_dedup, html_text, language_id, line_quality, merkle, mixing, near_dedup, secrets, token_count, toxicity, url_templates
 from blockweave.llm.common import read
 
 
@@ -59,6 +59,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group(read(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(read(spark, sf_dir, "documents"), seen=merkle.lowered_for()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_html_text": op10_html_text,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _OP9 = r"""
@@ -147,4 +152,28 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST, r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_exact_dedup": _OP12, "op5_line_quality": _OP5, "op1_decontaminate": _OP1, "op7_near_dedup": _OP7, "op9_mix_sources": _OP9}
+_OP13 = r"""
+WITH RECURSIVE p AS (SELECT doc_id, coalesce('=' || source, '') AS key, source, lang, n_chars, text,
+      xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT)),
+        lambda a, b: list_reduce(range(8), lambda x, i: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 5 = 0 AS hit FROM documents),
+f AS (SELECT doc_id, key, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS own, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END] AS other FROM p),
+h AS (SELECT doc_id, key, sha256(array_to_string(list_transform(own, lambda v: coalesce(strlen(v) || ':' || v, '-')), '')) AS leaf, sha256(array_to_string(list_transform(other, lambda v: coalesce(strlen(v) || ':' || v, '-')), '')) AS seen FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM h),
+t AS (SELECT 0 AS lvl, key, idx, n, leaf AS digest FROM l
+      UNION ALL SELECT lvl + 1, key, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY lvl, key, idx // 16, n),
+s AS (SELECT key, digest AS subroot, row_number() OVER (ORDER BY key) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, idx, n, subroot AS digest FROM s
+      UNION ALL SELECT lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 16, n),
+a AS (SELECT key AS tree, * EXCLUDE (key) FROM t UNION ALL SELECT '#top', * FROM u),
+b AS (SELECT tree, lvl, idx, n, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+      FROM a WINDOW w AS (PARTITION BY tree, lvl, idx // 16 ORDER BY idx)),
+g AS (SELECT row_number() OVER () AS r, key, key AS tree, 0 AS lvl, idx, seen AS acc, '' AS proof, false AS done FROM l
+      UNION ALL SELECT g.r, g.key, CASE WHEN b.n > 1 THEN g.tree ELSE '#top' END, CASE WHEN b.n > 1 THEN g.lvl + 1 ELSE 0 END, CASE WHEN b.n > 1 THEN g.idx // 16 ELSE s.idx END,
+      CASE WHEN b.n > 1 THEN sha256(lft || acc || rgt) ELSE acc END, CASE WHEN b.n > 1 THEN proof || lft || rgt ELSE proof END, b.n = 1 AND g.tree = '#top'
+      FROM g JOIN b ON b.tree = g.tree AND b.lvl = g.lvl AND b.idx = g.idx JOIN s ON s.key = g.key WHERE NOT done),
+o AS (SELECT row_number() OVER () AS r, doc_id, leaf, key FROM l)
+SELECT o.doc_id, o.leaf, s.subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(g.proof) AS proof_sha256, g.acc AS folded_root, g.acc = (SELECT digest FROM u WHERE n = 1) AS verified
+FROM o JOIN g ON g.r = o.r AND g.done JOIN s ON s.key = o.key
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": _OP13, "op12_exact_dedup": _OP12, "op5_line_quality": _OP5, "op1_decontaminate": _OP1, "op7_near_dedup": _OP7, "op9_mix_sources": _OP9}
