@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import decontaminate, exact_dedup, html_text, language_id, line_quality, merkle, mixing, near_dedup, secrets, token_count, toxicity, url_templates
+from blockweave.llm import decontaminate, exact_dedup, html_text, language_id, line_quality, merkle, mixing, near_dedup, secrets, token_count, tokenizer_align, toxicity, url_templates
 from blockweave.llm.common import read
 
 
@@ -55,6 +55,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_align.alignment(read(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group(read(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_html_text": op10_html_text,
+    "op11_tokenizer_align": op11_tokenizer_align,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
