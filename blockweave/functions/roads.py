@@ -87,6 +87,10 @@ def cut_cost(name: Column) -> Column:
     return F.lit(11) - rank(name, "enforcement")
 
 
+#: A multiple of all speeds.
+SPEEDS = 200
+
+
 def speed(name: Column) -> Column:
     """Km an hour for travel times."""
     return F.when(name.isin(*ARTERIAL), 40.0).when(name == "residential", 25.0).otherwise(20.0)

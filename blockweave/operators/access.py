@@ -12,16 +12,22 @@ from blockweave.operators.graphs import components
 
 
 def apply_changes(edges: DataFrame, changes: DataFrame) -> DataFrame:
-    """Edges that are left: a modal filter or closure (lo, hi) takes both directions, a one-way street the one from hi to lo."""
+    """Edges that are left: a modal filter or closure (lo, hi) takes both directions, a one-way street the way against its direction.
+
+    direction is lo_to_hi or hi_to_lo; without one, or where it is null, the way from hi to lo goes.
+    """
     keyed = edges.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")})
     shut = changes.where("kind <> 'one_way'").select("lo", "hi").distinct()
-    one = changes.where("kind = 'one_way'").select(F.col("hi").alias("u"), F.col("lo").alias("v")).distinct()
+    back = F.coalesce(F.col("direction") == "hi_to_lo", F.lit(False)) if "direction" in changes.columns else F.lit(False)
+    one = changes.where("kind = 'one_way'").select(F.when(back, F.col("lo")).otherwise(F.col("hi")).alias("u"), F.when(back, F.col("hi")).otherwise(F.col("lo")).alias("v")).distinct()
     return keyed.join(shut, ["lo", "hi"], "left_anti").join(one, ["u", "v"], "left_anti").drop("lo", "hi")
 
 
 def _inside(links: DataFrame, changes: DataFrame | None) -> DataFrame:
-    inner = links.where("role = 'interior'").select("cell_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct()
-    return inner if changes is None else inner.join(changes.select("cell_id", "lo", "hi").distinct(), ["cell_id", "lo", "hi"], "left_anti")
+    """Inner streets (cell_id, lo, hi) of which a way is left in either direction."""
+    inner = links.where("role = 'interior'").select("cell_id", "u", "v")
+    left = inner if changes is None else apply_changes(inner, changes)
+    return left.select("cell_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct()
 
 
 def violations(links: DataFrame, sectors: DataFrame, changes: DataFrame | None = None) -> DataFrame:
@@ -89,12 +95,14 @@ def _before(start: int, arcs: dict[int, list[int]]) -> dict[int, int]:
 
 
 def _cell_rows(links: DataFrame, sectors: DataFrame, changes: DataFrame, lost: DataFrame) -> DataFrame:
-    """All that is known of a cell as rows (cell_id, what, u, v, kind)."""
+    """All that is known of a cell as rows (cell_id, what, u, v, kind, direction)."""
     none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
     rows = links.where("role = 'interior'").select("cell_id", F.lit("arc").alias("what"), "u", "v", text.alias("kind")).distinct()
     rows = rows.unionByName(sectors.select("cell_id", F.lit("door").alias("what"), F.col("node_id").alias("u"), none.alias("v"), text.alias("kind")))
-    rows = rows.unionByName(changes.select("cell_id", F.lit("change").alias("what"), F.col("lo").alias("u"), F.col("hi").alias("v"), "kind"))
-    rows = rows.unionByName(lost.select("cell_id", F.lit("lost").alias("what"), F.col("node_id").alias("u"), none.alias("v"), text.alias("kind")))
+    rows = rows.withColumn("direction", text)
+    way = F.coalesce("direction", F.lit("lo_to_hi")) if "direction" in changes.columns else F.lit("lo_to_hi")
+    rows = rows.unionByName(changes.select("cell_id", F.lit("change").alias("what"), F.col("lo").alias("u"), F.col("hi").alias("v"), "kind", way.alias("direction")))
+    rows = rows.unionByName(lost.select("cell_id", F.lit("lost").alias("what"), F.col("node_id").alias("u"), none.alias("v"), text.alias("kind"), text.alias("direction")))
     return rows.join(lost.select("cell_id").distinct(), "cell_id", "left_semi")
 
 
@@ -106,13 +114,14 @@ class _Cell:
         nodes = lambda k: sorted({int(u) for u in of[k]["u"]}) if k in of else []
         self.arcs = sorted(set(pairs("arc")))
         self.doors, self.lost = nodes("door"), nodes("lost")
-        self.changes = dict(zip(pairs("change"), of["change"]["kind"], strict=True)) if "change" in of else {}
+        #: Kind and direction of each changed street.
+        self.changes = dict(zip(pairs("change"), zip(of["change"]["kind"], of["change"]["direction"], strict=True), strict=True)) if "change" in of else {}
 
     @staticmethod
-    def shut(arc: tuple[int, int], changes: dict[tuple[int, int], str]) -> bool:
-        """True if a change takes the arc: a one-way street the way from hi to lo, others both."""
-        kind = changes.get((min(arc), max(arc)))
-        return kind is not None and (kind != "one_way" or arc[0] > arc[1])
+    def shut(arc: tuple[int, int], changes: dict[tuple[int, int], tuple[str, str]]) -> bool:
+        """True if a change takes the arc: a one-way street the way against its direction, others both."""
+        kind, direction = changes.get((min(arc), max(arc)), (None, None))
+        return kind is not None and (kind != "one_way" or (arc[0] > arc[1]) == (direction != "hi_to_lo"))
 
     def ahead(self, changes: dict) -> dict[int, list[int]]:
         out: dict[int, list[int]] = {}
@@ -143,9 +152,8 @@ def diagnose(links: DataFrame, sectors: DataFrame, changes: DataFrame, lost: Dat
             for before in trees:
                 v = node
                 while v in before and before[v] != v:
-                    kinds.add(cell.changes.get((min(v, before[v]), max(v, before[v]))))
+                    kinds |= {k for k, _ in [cell.changes.get((min(v, before[v]), max(v, before[v])), (None, None))] if k}
                     v = before[v]
-            kinds.discard(None)
             known = any(node in before for before in trees)
             reason = "Node was already isolated in original graph" if not known else "Blocked by modifications: " + ", ".join(sorted(kinds)) if kinds else "Disconnected after modifications (complex topology)"
             out.append((cell.cell, node, reason))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
 from blockweave.functions import roads as R
+from blockweave.functions.lineage import cut
+from blockweave.operators.access import one_way_directions
 
 
 def size_score(ha: Column) -> Column:
@@ -125,10 +127,11 @@ def min_cut(links: list[tuple[int, int, float]], sources: set[int], sinks: set[i
 
 
 def street_changes(links: DataFrame, sectors: DataFrame, feats: DataFrame) -> DataFrame:
-    """(cell_id, lo, hi, kind, cost): cuts that part the entries of each two sectors of a cell.
+    """(cell_id, lo, hi, kind, cost, direction): cuts that part the entries of each two sectors of a cell.
 
     One group for each cell, whose size is bounded by the cell's; a one-way street takes
-    the place of a filter on important roads.
+    the place of a filter on important roads, and its direction, lo_to_hi or hi_to_lo, is
+    decided here for all that work with the change.
     """
     inner = links.where("role = 'interior'").join(feats.select("u", "v", "key", "highway"), ["u", "v", "key"])
     inner = inner.groupBy("cell_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min(R.cut_cost(F.col("highway"))).cast("double").alias("cost"))
@@ -148,7 +151,9 @@ def street_changes(links: DataFrame, sectors: DataFrame, feats: DataFrame) -> Da
         cell = int(pdf["cell_id"].iloc[0])
         return pd.DataFrame([(cell, a, b, "one_way" if cost[a, b] >= 6 else "modal_filter", cost[a, b]) for a, b in sorted(out)], columns=["cell_id", "lo", "hi", "kind", "cost"])
 
-    return rows.groupBy("cell_id").applyInPandas(solve, "cell_id long, lo long, hi long, kind string, cost double")
+    changes = cut(rows.groupBy("cell_id").applyInPandas(solve, "cell_id long, lo long, hi long, kind string, cost double"))
+    ways = one_way_directions(links, sectors, changes.where("kind = 'one_way'").select("cell_id", "lo", "hi"))
+    return changes.join(ways.drop("score"), ["cell_id", "lo", "hi"], "left")
 
 
 # Who may still use a street, by what is done to it.
@@ -159,18 +164,17 @@ def access_allowed(action: Column) -> Column:
     return F.coalesce(*[F.when(action == k, F.array(*[F.lit(w) for w in who])) for k, who in ACCESS.items()])
 
 
-def modification_records(changes: DataFrame, edges: DataFrame, nodes: DataFrame, directions: DataFrame | None = None) -> DataFrame:
+def modification_records(changes: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """A record for each changed street: cell_id, u, v, osm_id, name, modification_type, direction, filter_x, filter_y.
 
     The first edge (u, v, key) of the street gives its id and name; a filter stands in the
-    middle of its ends.  directions (cell_id, lo, hi, direction) are those of one-way streets.
+    middle of its ends.
     """
     first = edges.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min_by(F.struct("osmid", "name"), F.struct("u", "v", "key")).alias("e"))
-    c = changes.join(first, ["lo", "hi"], "left").select("cell_id", "lo", "hi", "kind", R.positive_id(F.col("e.osmid")).alias("osm_id"), R.joined_name(F.col("e.name")).alias("name"))
+    c = changes.join(first, ["lo", "hi"], "left").select("cell_id", "lo", "hi", "kind", "direction", R.positive_id(F.col("e.osmid")).alias("osm_id"), R.joined_name(F.col("e.name")).alias("name"))
     a = nodes.select(F.col("node_id").alias("lo"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = nodes.select(F.col("node_id").alias("hi"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     c = c.join(a, "lo").join(b, "hi")
-    c = c.join(directions.select("cell_id", "lo", "hi", "direction"), ["cell_id", "lo", "hi"], "left") if directions is not None else c.withColumn("direction", F.lit(None).cast("string"))
     filter_ = F.col("kind") == "modal_filter"
     return c.select(
         "cell_id", F.col("lo").alias("u"), F.col("hi").alias("v"), "osm_id", "name", F.col("kind").alias("modification_type"), F.when(F.col("kind") == "one_way", F.coalesce("direction", F.lit("lo_to_hi"))).alias("direction"),

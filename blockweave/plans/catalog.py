@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
 from blockweave.functions import roads as R
+from blockweave.functions.lineage import cut
 from blockweave.operators import access, blocks, cell_merge, display, graphs, network, noding, places, polygonize, routing, sizing, spatial, traffic
 from blockweave.plans.oracle import ORACLE_SQL  # noqa: F401
 from blockweave.sources import network as S
@@ -35,6 +36,17 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return spatial.cell_edges(_placed(spark, d), S.cells(spark, d))
 
 
+def _sectors(spark: SparkSession, d: str, links: DataFrame) -> DataFrame:
+    return blocks.entry_sectors(spatial.cell_entries(links), S.cells(spark, d), S.nodes(spark, d))
+
+
+def _changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, sectors and street changes of the cells, each made once."""
+    links = _links(spark, d)
+    sectors = cut(_sectors(spark, d, links))
+    return links, sectors, cut(blocks.street_changes(links, sectors, _features(spark, d)))
+
+
 def _simple(spark: SparkSession, d: str) -> DataFrame:
     return network.simple(S.edges(spark, d), F.col("length"), "length")
 
@@ -153,7 +165,7 @@ def address_nearest_node(spark, d):
 
 @query
 def cell_sectors(spark, d):
-    return blocks.entry_sectors(spatial.cell_entries(_links(spark, d)), S.cells(spark, d), S.nodes(spark, d))
+    return _sectors(spark, d, _links(spark, d))
 
 
 @query
@@ -164,7 +176,7 @@ def cell_interventions(spark, d):
 
 @query
 def cell_street_changes(spark, d):
-    return blocks.street_changes(_links(spark, d), cell_sectors(spark, d), _features(spark, d))
+    return _changed(spark, d)[2]
 
 
 @query
@@ -337,23 +349,24 @@ def network_after_changes(spark, d):
 
 @query
 def cell_violations(spark, d):
-    return access.violations(_links(spark, d), cell_sectors(spark, d))
+    links = _links(spark, d)
+    return access.violations(links, _sectors(spark, d, links))
 
 
 @query
 def cell_violations_after_changes(spark, d):
-    return access.violations(_links(spark, d), cell_sectors(spark, d), cell_street_changes(spark, d))
+    return access.violations(*_changed(spark, d))
 
 
 @query
 def cell_access_report(spark, d):
-    links, sectors, changes = _links(spark, d), cell_sectors(spark, d), cell_street_changes(spark, d)
+    links, sectors, changes = _changed(spark, d)
     return access.report(links, access.unreachable(links, sectors, changes))
 
 
 @query
 def city_totals(spark, d):
-    links, sectors, changes = _links(spark, d), cell_sectors(spark, d), cell_street_changes(spark, d)
+    links, sectors, changes = _changed(spark, d)
     areas = S.cells(spark, d).select(G.utm_hectares(F.col("ring")).alias("area_ha"))
     return access.city_totals(areas, changes, access.unreachable(links, sectors, changes))
 
@@ -452,4 +465,4 @@ def one_way_directions(spark, d):
     """Directions for all inner streets."""
     links = _links(spark, d)
     inner = links.where("role = 'interior'").select("cell_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"))
-    return access.one_way_directions(links, cell_sectors(spark, d), inner)
+    return access.one_way_directions(links, _sectors(spark, d, links), inner)

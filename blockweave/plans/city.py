@@ -97,13 +97,12 @@ def city_partition(spark, d):
 @query
 def city_modifications(spark, d):
     """A record for each street that the city partition changes."""
-    _, links, sectors, changes, _ = _blocks(spark, d)
-    one_way = access.one_way_directions(links, sectors, changes.where("kind = 'one_way'").select("cell_id", "lo", "hi"))
-    return blocks.modification_records(changes, S.edges(spark, d), S.nodes(spark, d), one_way)
+    changes = _blocks(spark, d)[3]
+    return blocks.modification_records(changes, S.edges(spark, d), S.nodes(spark, d))
 
 
 def _cell_state(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    links, sectors, changes = C._links(spark, d), partition.cut(C.cell_sectors(spark, d)), partition.cut(C.cell_street_changes(spark, d))
+    links, sectors, changes = C._changed(spark, d)
     return links, sectors, changes, partition.cut(access.unreachable(links, sectors, changes))
 
 
@@ -166,7 +165,7 @@ def _trips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _block_routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    links, changes = C._links(spark, d), partition.cut(C.cell_street_changes(spark, d))
+    links, _, changes = C._changed(spark, d)
     edges = partition.cut(access.apply_changes(S.edges(spark, d), changes))
     routes = routing.block_routes(_trips(spark, d), edges, S.nodes(spark, d), S.cells(spark, d), spatial.cell_entries(links))
     return partition.cut(routes), edges, links

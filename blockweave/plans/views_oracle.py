@@ -105,8 +105,8 @@ SELECT node, hops FROM r""",
     "routes_after_changes": RECURSIVE + ROUTES.format(where="least(u, v) % 7 <> 0 AND NOT (least(u, v) % 11 = 0 AND u > v)") + "SELECT request_id, cost FROM rq LEFT JOIN rm ON rm.o = rq.o AND rm.node = rq.d",
     "route_costs": FREE + ", le AS (SELECT request_id, CAST(count(*) AS INTEGER) AS n_nodes FROM pa GROUP BY 1) SELECT request_id, cost, n_nodes FROM rq LEFT JOIN rm ON rm.o = rq.o AND rm.node = rq.d LEFT JOIN le USING (request_id)",
     "route_segments": SEGMENTS + "SELECT request_id, segment, highway, steps, length FROM seg",
-    "route_summary": SEGMENTS + """, su AS (SELECT request_id, sum(length) AS m, sum(length / 1000 / CASE WHEN highway IN ('primary', 'secondary', 'tertiary') THEN 40.0::DOUBLE WHEN highway = 'residential' THEN 25 ELSE 20 END * 60) AS minutes, sum(CASE WHEN highway IN ('primary', 'secondary', 'tertiary') THEN length ELSE 0.0::DOUBLE END) AS a FROM seg GROUP BY 1)
-SELECT request_id, round(m / 1000, 3) AS km, round(minutes, 3) AS minutes, CASE WHEN m > 0 THEN round(100 * a / m, 1) ELSE 100.0::DOUBLE END AS arterial_percent FROM su""",
+    "route_summary": SEGMENTS + """, su AS (SELECT request_id, sum(length) AS m, sum(length * CASE WHEN highway IN ('primary', 'secondary', 'tertiary') THEN 5 WHEN highway = 'residential' THEN 8 ELSE 10 END) AS slow, sum(CASE WHEN highway IN ('primary', 'secondary', 'tertiary') THEN length ELSE 0.0::DOUBLE END) AS a FROM seg GROUP BY 1)
+SELECT request_id, floor(m + 0.5::DOUBLE) / 1000 AS km, floor(slow * 60 / 200 + 0.5::DOUBLE) / 1000 AS minutes, CASE WHEN m > 0 THEN floor(1000 * a / m + 0.5::DOUBLE) / 10 ELSE 100.0::DOUBLE END AS arterial_percent FROM su""",
     "route_changes": SEGMENTS.replace(", seg AS", ", seg0 AS") + PLAN + """, st3 AS (SELECT request_id, kind FROM sp JOIN plan ON lo = least(u, v) AND hi = greatest(u, v))
 SELECT request_id, count(*) AS streets, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS kinds FROM st3 GROUP BY 1""",
     "size_recommendation": BASE + """, tt AS (SELECT sum(length) AS total, sum(CASE WHEN uy = vy THEN length ELSE 0 END) AS flat FROM ends), kk AS (SELECT count(*) AS n FROM nodes),
