@@ -11,22 +11,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockweave.functions.joins import join_hot
 from blockweave.functions.lineage import cut
 from blockweave.operators.wide_graphs import edge_shares
 
 
+#: Rows of a round's tables in one task; rounds over few links stay in few files.
+ROWS_IN_TASK = 20_000
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(lo, hi) -> (node, label): the smallest node of each undirected component, by minimum labels and pointer jumping."""
+    """(lo, hi) -> (node, label): the smallest node of each undirected component.
+
+    Each round a label is hooked to the smallest label beside any of its nodes, and goes on
+    to where that one is hooked; all its nodes follow.  A network is mostly one component,
+    so after some rounds one label has most nodes, and most labels are beside it: their
+    rows stay where they are, and the label's row is sent to them.
+    """
     both = cut(links.select(F.col("lo").alias("node"), F.col("hi").alias("beside")).union(links.select("hi", "lo")).distinct())
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("beside")).alias("label")))
+    tasks = 1 + both.count() // ROWS_IN_TASK
+    both = both.coalesce(tasks)
+    # Rows of one task need no way around hot keys.
+    join = join_hot if tasks > 1 else lambda left, right, on, weight: left.join(right, on).drop(weight)
+    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("beside")).alias("label")).coalesce(tasks))
     while True:
+        # A node's neighbours are as many as its streets, which are few; its label's nodes may be all there are.
         near = both.join(labels.select(F.col("node").alias("beside"), F.col("label").alias("l")), "beside").groupBy("node").agg(F.min("l").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = cut(stepped.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
-        labels = new.select("node", "label")
-        if not new.where("label <> old").limit(1).count():
+        own = labels.select(F.col("node").alias("label"), F.col("label").alias("own"))
+        seen = cut(labels.join(near, "node").coalesce(tasks))
+        hooks = seen.groupBy("label").agg(F.count("*").alias("w"), F.min("near").alias("near"))
+        hooks = cut(hooks.join(own, "label").select("label", "w", F.least("label", "near", "own").alias("next")).coalesce(tasks))
+        if not hooks.where("next <> label").limit(1).count():
             return labels
+        far = hooks.groupBy("next").agg(F.count("*").alias("n")).join(hooks.select(F.col("label").alias("next"), F.col("next").alias("far")), "next", "left")
+        jumped = join(hooks, far.select("next", "n", F.coalesce("far", "next").alias("far")), ["next"], "n").select("label", "w", F.col("far").alias("to"))
+        labels = cut(join(seen.select("node", "label"), jumped, ["label"], "w").select("node", F.col("to").alias("label")).coalesce(tasks))
 
 
 def hops(arcs: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
