@@ -242,13 +242,13 @@ def _requests(spark, d):
 
 @query
 def route_costs(spark, d):
-    return routing.shortest_paths(routing.priced(S.edges(spark, d)), _requests(spark, d)).select("request_id", "cost", F.size("path").alias("n_nodes"))
+    return routing.shortest_paths(routing.priced(S.edges(spark, d)), _requests(spark, d), S.nodes(spark, d)).select("request_id", "cost", F.size("path").alias("n_nodes"))
 
 
 @query
 def route_segments(spark, d):
     edges = S.edges(spark, d)
-    return routing.segments(routing.steps(routing.shortest_paths(routing.priced(edges), _requests(spark, d)), edges))
+    return routing.segments(routing.steps(routing.shortest_paths(routing.priced(edges), _requests(spark, d), S.nodes(spark, d)), edges))
 
 
 @query
@@ -374,7 +374,7 @@ def city_totals(spark, d):
 @query
 def routes_after_changes(spark, d):
     edges = access.apply_changes(S.edges(spark, d), _planned(spark, d))
-    return routing.shortest_paths(routing.priced(edges), _requests(spark, d)).select("request_id", "cost")
+    return routing.shortest_paths(routing.priced(edges), _requests(spark, d), S.nodes(spark, d)).select("request_id", "cost")
 
 
 @query

@@ -187,5 +187,5 @@ def block_route_segments(spark, d):
 @query
 def route_changes(spark, d):
     """Streets of free routes that are to change, in either direction."""
-    steps = routing.steps(routing.shortest_paths(routing.priced(S.edges(spark, d)), C._requests(spark, d)), S.edges(spark, d))
+    steps = routing.steps(routing.shortest_paths(routing.priced(S.edges(spark, d)), C._requests(spark, d), S.nodes(spark, d)), S.edges(spark, d))
     return steps.select("request_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).join(C._planned(spark, d), ["lo", "hi"]).groupBy("request_id").agg(F.count("*").alias("streets"), F.array_join(F.array_sort(F.collect_set("kind")), ", ").alias("kinds"))
