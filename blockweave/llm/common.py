@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockweave.functions.joins import join_hot  # noqa: F401
+from blockweave.functions.lineage import checkpoint_folder, cut, delete_folder  # noqa: F401
+
 #: Bytes that separate words of the white-space kind; equal to what bytes.split() splits on.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,38 +17,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share.
-
-    A folder of our own is set only where a local session has none, as in tests; on a
-    cluster a missing setting is an error, as the executors share no temporary folder.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Remove a folder of any file system that Spark reads."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table in the shared folder, written and read again.
-
-    Unlike a checkpoint it carries nothing of its plan (constraints, orders), which would
-    grow from round to round.
-    """
-    path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_key(id_col: str, text_col: str) -> Column:
     """A 64-bit key of a row's id and text; equal rows share it, and nulls have a key too."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
@@ -70,26 +38,6 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Keys that count as hot hold more than this part of all rows, so that there are fewer of them than this.
-HOT = 1000
-
-
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join with a table of one row for each key, which says how many rows of ``left`` have the key.
-
-    Keys with more than a thousandth of all rows, fewer than a thousand by that count, are
-    told by a hash.  Their rows are sent to all tasks, so that the rows of ``left`` stay
-    where they are; the other rows meet by key, in a merge join at every size.
-    """
-    right, code = cut(right), F.xxhash64(*on)
-    least = (right.agg(F.sum(weight)).first()[0] or 0) // HOT
-    hot = [r[0] for r in right.where(F.col(weight) > least).select(code).collect()]
-    if not hot:
-        return left.join(right.hint("merge"), on).drop(weight)
-    here = left.where(code.isin(hot)).join(F.broadcast(right.where(code.isin(hot))), on)
-    return here.unionByName(left.where(~code.isin(hot)).join(right.where(~code.isin(hot)).hint("merge"), on)).drop(weight)
-
-
 def sample_by_hash(df: DataFrame, limit: int, *by: str, id_col: str, text_col: str | None = None, seed: int = 7) -> DataFrame:
     """At most about 1.2 * limit + 32 rows of each group, the ones with the smallest hash of the id, and of the text if it is named.
 

@@ -11,8 +11,8 @@ Defined results: a null text has no words, so it takes none.  A null source is a
 source of its own, last in order.  Repeated rows each count; rows of one key are
 ordered by id and size, so rows that tie are equal in what they take.  An empty
 table gives an empty result with the same columns.  Other columns are passed on
-by ``mix`` unless they have the name of a result column, which replaces them; there,
-rows of equal id and text get the largest share among them.
+by ``mix`` unless they have the name of a result column, which replaces them; rows are
+written with a number there, so that each of several equal rows gets its own share.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,11 +59,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     return t.select("source", "n", "source_size", F.when(F.col("full"), F.col("most")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, epochs: float = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """key, doc_id, source, size, source_size, target, taken of every row; taken counts words, repeats included."""
+def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, epochs: float = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: Column | None = None) -> DataFrame:
+    """key (of id and text unless another is given), doc_id, source, size, source_size, target, taken of every row; taken counts words, repeats included."""
     slim = cut(
         docs.select(
-            text_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+            (text_key(id_col, text_col) if key is None else key).alias("key"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
             F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("")).alias("deal"),
         )
     )
@@ -88,9 +88,8 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Documents that the mix takes, with size, source_size, target and taken."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     made = ["size", "source_size", "target", "taken"]
-    kept = docs.drop(*made)
-    (key,) = free_names(kept, "_key")
-    parts = plan(docs, **options).groupBy(F.col("key").alias(key)).agg(*[F.max(c).alias(c) for c in made])
-    return kept.withColumn(key, text_key(id_col, text_col)).join(parts.where("taken > 0"), key).drop(key)
+    (number,) = free_names(docs, "_row")
+    numbered = cut(docs.withColumn(number, F.monotonically_increasing_id()))
+    parts = plan(numbered, key=F.col(number), **options).where("taken > 0").select(F.col("key").alias(number), *made)
+    return numbered.drop(*made).join(parts.hint("merge"), number).drop(number)

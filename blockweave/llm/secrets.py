@@ -4,7 +4,9 @@ Three kinds of secret have a pattern.  What those patterns find in a bounded sam
 texts teaches a conditional random field to tag tokens as the beginning of a secret,
 its inside, or outside, from the token's shape, the words beside it and features of
 the whole text.  A line is a sequence; it is decoded by Viterbi.  Spans that the field
-finds and no pattern touches are added with kind ``crf``.
+finds and no pattern touches are added with kind ``crf``.  Made-up secrets teach it
+secrets in general, and made-up addresses, paths, versions, names and short digests what
+isn't one.
 
 A token's share in the score of a place doesn't depend on its neighbours, so it is
 computed once a token and looked up after that; scores of all places of a batch are
@@ -88,6 +90,25 @@ def traits(token: str) -> tuple[str, ...]:
     if n < 8:
         return (f"k:{kind}", f"n:{kind}{n}", token if n == 1 else "short")
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
+    runs = [len(x) for x in _APART.split(token) if x]
+    names = [x for x in _LETTERS.findall(token) if len(x) >= 3]
+    spoken = sum(len(x) for x in names if 5 <= 20 * sum(c in "aeiouAEIOU" for c in x) // len(x) <= 13)
+    return (
+        f"r:{min(max(runs), 40) // 4}", f"q:{min(len(runs), 6)}", f"o:{10 * spoken // n}", f"m:{min(max(map(len, names), default=0), 15) // 3}", f"y:{'/' in token}{'.' in token}{'-' in token}{'+' in token}{'_' in token}", f"z:{_FORM.sub(_form, token)[:12]}",
+        *_shape(token, n, kind, turns, lower, upper, digit),
+    )
+
+
+_APART, _LETTERS, _FORM = re.compile(r"[^A-Za-z0-9]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), re.compile(r"[a-f]+|[a-z]+|[A-Z]+|[0-9]+")
+
+
+def _form(m: re.Match) -> str:
+    """One sign for a run of letters or digits, another one for a long run."""
+    sign = "9" if m[0].isdigit() else "A" if m[0].isupper() else "a"
+    return sign if len(m[0]) < 4 else sign * 2
+
+
+def _shape(token: str, n: int, kind: str, turns: int, lower: bool, upper: bool, digit: int) -> tuple[str, ...]:
     return (f"k:{kind}", f"n:{kind}{min(n, 60) // 5}", "hex" if not token.strip("0123456789abcdef") else "nohex", f"d:{10 * digit // n}", f"e:{int(2 * entropy(token))}", f"t:{min(9, 10 * turns // n)}", f"p:{token[:4]}" if upper and not lower else "p")
 
 
@@ -250,6 +271,30 @@ def made_up(turn: random.Random) -> str:
     return prefix + body(turn.randrange(16, 60)) + turn.choice(("", "", "", "=", "=="))
 
 
+def harmless(turn: random.Random) -> str:
+    """What looks like a secret and isn't: an address, a path, a version, a name with digits, a short digest, a number of many parts."""
+    word = lambda: turn.choice(("", "", "un", "re", "pre")) + "".join(turn.choice("bcdfglmnprstvz") + turn.choice("aeiou") for _ in range(turn.randrange(1, 4))) + turn.choice(("", "n", "r", "s", "t", "ing", "er"))
+    some = lambda alphabet, a, b: "".join(turn.choices(alphabet, k=turn.randrange(a, b)))
+    hexes, number = "0123456789abcdef", lambda: str(turn.randrange(10 ** turn.randrange(1, 6)))
+    words = lambda a, b, by: by.join(word() + (number() if turn.random() < 0.15 else "") for _ in range(turn.randrange(a, b)))
+    name = words(1, 4, turn.choice("_-.")) + turn.choice(("", ".py", ".html", ".tar.gz", ".JPG", ".min.js", ".c"))
+    case = lambda x: turn.choice((x, x, x.upper()))
+    return turn.choice((
+        lambda: f"http{turn.choice(('', 's'))}://{words(2, 4, '.')}.{turn.choice(('com', 'org', 'net', 'io'))}/{words(1, 6, '/')}{turn.choice(('', '/' + name, '?' + word() + '=' + number()))}",
+        lambda: turn.choice(("/", "./", "~/", "C:/", "")) + words(2, 7, "/") + "/" + name,
+        lambda: case("-".join("".join(turn.choices(hexes, k=k)) for k in (8, 4, 4, 4, 12))),
+        lambda: turn.choice(("", "v", word() + "-")) + ".".join(number() for _ in range(turn.randrange(2, 5))) + turn.choice(("", "-" + word() + "." + number(), "+" + word() + "." + number(), "rc1", "-SNAPSHOT")),
+        lambda: word() + "".join(word().title() for _ in range(turn.randrange(1, 5))) + turn.choice(("", number())),
+        lambda: words(2, 6, "_").upper() if turn.random() < 0.4 else words(2, 6, turn.choice("_-.")),
+        lambda: case(some(hexes, 7, 17)),
+        lambda: turn.choice(("", "sha1-", "etag ")) + some(hexes, 8, 20) + "..." + some(hexes, 4, 8),
+        lambda: f"{turn.randrange(1970, 2040)}-{turn.randrange(1, 13):02}-{turn.randrange(1, 29):02}T{turn.randrange(24):02}:{turn.randrange(60):02}:{turn.randrange(60):02}Z",
+        lambda: turn.choice(("+", "")) + "-".join(some("0123456789", 2, 6) for _ in range(turn.randrange(2, 6))),
+        lambda: word() + number() + "@" + words(1, 3, ".") + ".com",
+        lambda: f"data:image/{turn.choice(('png', 'gif', 'jpeg'))};base64," + some(ALPHABETS[2], 40, 200),
+    ))()
+
+
 def varied(line: str, spans: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int]]]:
     """The line with made-up secrets in the place of its own, half of them without the keyword before it; spans are (start of the match, start of the secret, end)."""
     turn = random.Random(hashlib.md5(line.encode("utf-8", "surrogatepass")).digest())
@@ -295,15 +340,18 @@ def _examples(texts: list[str]) -> list[tuple[list[str], list[int], tuple[str, .
     # Lines with addresses, numbers and the like tell most about what isn't a secret.
     hard = [x for x in order if any(len(t) >= 8 and not t.isalpha() for t in x[0])][:PLANTED]
     order, good = order[: max(PLANTED, min(MAX_LINES, 3 * len(good)))], good[: 2 * MAX_LINES]
-    return good + [planted(x) for x in order[: max(PLANTED, len(good))]] + order + hard
+    return good + [planted(x) for x in order[: max(PLANTED, len(good))]] + [planted(x, harmless, OUT) for x in order[: max(2 * PLANTED, len(good))]] + order + hard
 
 
-def planted(example: tuple) -> tuple:
-    """A line with a made-up secret between two of its tokens."""
+def planted(example: tuple, made: Callable[[random.Random], str] = made_up, label: int = BEGIN) -> tuple:
+    """A line with something made up between two of its tokens, or alone: a secret, or with label ``OUT`` what isn't one."""
     tokens, labels, about = example
     turn = random.Random(hashlib.md5(" ".join(tokens).encode("utf-8", "surrogatepass")).digest())
-    secret, k = TOKEN.findall(made_up(turn)), turn.randrange(len(tokens) + 1)
-    return tokens[:k] + secret + tokens[k:], labels[:k] + [BEGIN] + [INSIDE] * (len(secret) - 1) + labels[k:], about
+    thing, k = TOKEN.findall(made(turn)), turn.randrange(len(tokens) + 1)
+    new = [label] + [INSIDE if label else OUT] * (len(thing) - 1)
+    if turn.random() < 0.2:
+        return thing, new, about
+    return tokens[:k] + thing + tokens[k:], labels[:k] + new + labels[k:], about
 
 
 def fit(texts: list[str], epochs: int = 8, rate: float = 0.5, ridge: float = 1e-3) -> Field | None:

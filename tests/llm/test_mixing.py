@@ -38,3 +38,12 @@ def test_empty_and_null(spark):
     rows = M.plan(docs(spark, [None, ""])).collect()
     assert [r["taken"] for r in rows] == [0, 0]
     assert M.mix(docs(spark, ["a b c", "d e f"])).where("taken > 0").count() == 2
+
+
+def test_equal_rows_take_their_own_shares(spark):
+    """Four equal rows and a budget of less than all: the mix takes what the plan takes, and no row moves twice."""
+    some = docs(spark, [(1, "a b c d")] * 4 + [(2, "x y z")])
+    want = sorted(r["taken"] for r in M.plan(some).where("taken > 0").collect())
+    out = M.mix(some)
+    assert sorted(r["taken"] for r in out.collect()) == want
+    assert [c for c in out.columns if c in some.columns] == some.columns

@@ -143,3 +143,29 @@ def test_recall_of_unseen_kinds(spark):
             total += 1
     assert found >= 0.85 * total
     assert sum(k == 3 for t in texts[600:] for _, k, _ in S.all_spans(t, field)[1]) <= 1
+
+
+def harmless_lines(turn):
+    """Lines with tokens that aren't secrets, written otherwise than those the field learns from."""
+    some = lambda n, alphabet: "".join(turn.choices(alphabet, k=n))
+    hexes, pick = "0123456789abcdef", turn.choice
+    noun, verb = ("report", "garden", "window", "account", "library", "summer"), ("read", "open", "merge", "update", "remove")
+    n = lambda top: turn.randrange(top)
+    return [
+        f"see https://www.{pick(noun)}-{pick(noun)}.org/{2000 + n(30)}/{n(13)}/{pick(verb)}-the-{pick(noun)}-{pick(noun)}.html for more", f"request id {some(8, hexes)}-{some(4, hexes)}-4{some(3, hexes)}-a{some(3, hexes)}-{some(12, hexes)} failed",
+        f"fixed in commit {some(8, hexes)} by the {pick(noun)} team", f"released {pick(noun)} {n(9)}.{n(20)}.{n(20)}-beta.{n(9)}+build.{n(999)} today", f"set userId{n(99)} and {pick(verb)}{pick(noun).title()}{pick(noun).title()}By{pick(noun).title()}{n(9)} first",
+        f"import org.{pick(noun)}.{pick(noun)}.{pick(verb)}.{pick(noun).title()}{pick(noun).title()}Factory here", f"moved /usr/local/share/{pick(noun)}/{pick(noun)}_{pick(verb)}_{n(99)}.tar.gz away", f"the {pick(noun)}_{pick(verb)}_{pick(noun)}_MAX_{n(99)} constant",
+        f"call {n(999)}-{n(999)}-{n(9999)} before {1990 + n(40)}-0{1 + n(9)}-1{n(9)}T0{n(9)}:4{n(9)}:00Z", f"{pick(verb)} node_modules/@{pick(noun)}/{pick(noun)}-{pick(verb)}/dist/{pick(noun)}.min.js", f"mail {pick(noun)}.{pick(noun)}{n(99)}@{pick(noun)}.example.com now", f"window-{n(99)}x{n(99)} and {pick(noun)}-v{n(9)}.{n(9)}",
+    ]
+
+
+def test_precision_on_what_is_no_secret(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r["text"] and len(r["text"]) <= 20_000]
+    field, turn = S.fit(texts[:600]), random.Random(8)
+    lines = [x for _ in range(25) for x in harmless_lines(turn)]
+    false = [x for x in lines if S.all_spans(x, field)[1]]
+    assert len(false) <= 0.01 * len(lines), false[:9]
+    whole = "\n".join(lines[:12])
+    assert S.masked(whole, S.all_spans(whole, field)[1]) == whole
+    secrets = [s for _ in range(15) for s in unseen_secrets(turn).values()]
+    assert sum(any(k == 3 for _, k, _ in S.all_spans(f"{pre} {s}", field)[1]) for s, pre in zip(secrets, ["use the key", "and then", "config", ""] * 30, strict=False)) >= 0.9 * len(secrets)
