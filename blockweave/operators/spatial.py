@@ -50,24 +50,6 @@ def cell_edges(edges: DataFrame, cells: DataFrame, size: float = BUCKET, touch:
     return cut(near.select("cell_id", "u", "v", "key", role.alias("role"))).where("role is not null")
 
 
-def crossed_edges(edges: DataFrame, cells: DataFrame, size: float = BUCKET, touch: float = 1e-9) -> DataFrame:
-    """(cell_id, u, v, key, role): perimeter if an end or the middle lies on the ring, interior if the middle is inside and no perimeter edge has the edge's osmid.
-
-    Edges come with osmid, ux, uy, vx, vy.
-    """
-    e = edges.withColumns({"mx": (F.col("ux") + F.col("vx")) / 2, "my": (F.col("uy") + F.col("vy")) / 2})
-    spot = lambda x, y: F.struct(_bucket(F.col(x), size).alias("bx"), _bucket(F.col(y), size).alias("by"))
-    e = e.withColumn("b", F.explode(F.array_distinct(F.array(spot("mx", "my"), spot("ux", "uy"), spot("vx", "vy"))))).select("*", "b.bx", "b.by").drop("b")
-    near = e.join(bucketed(cells.select("cell_id", "ring"), size=size, margin=touch), ["bx", "by"])
-    near = near.where((F.greatest("ux", "vx") >= F.col("x0")) & (F.least("ux", "vx") <= F.col("x1")) & (F.greatest("uy", "vy") >= F.col("y0")) & (F.least("uy", "vy") <= F.col("y1")))
-    on_ring = lambda x, y: G.boundary_distance(F.col("ring"), F.col(x), F.col(y)) <= touch
-    role = F.when(on_ring("ux", "uy") | on_ring("vx", "vy") | on_ring("mx", "my"), "perimeter").when(G.contains(F.col("ring"), F.col("mx"), F.col("my")), "interior")
-    out = cut(near.select("cell_id", "u", "v", "key", "osmid", role.alias("role")).where("role is not null").distinct())
-    edge = out.where("role = 'perimeter'")
-    inner = out.where("role = 'interior'").join(edge.select("cell_id", "osmid").distinct(), ["cell_id", "osmid"], "left_anti")
-    return edge.unionByName(inner).select("cell_id", "u", "v", "key", "role")
-
-
 def cell_entries(links: DataFrame) -> DataFrame:
     """(cell_id, node_id) of nodes that an interior and a boundary edge of the cell share."""
     ends = links.select("cell_id", "role", F.explode(F.array("u", "v")).alias("node_id"))

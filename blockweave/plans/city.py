@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
-from blockweave.operators import access, blocks, graphs, network, partition, polygonize, routing, spatial
+from blockweave.operators import access, blocks, graphs, lines, network, partition, polygonize, routing, spatial
 from blockweave.plans import catalog as C
 from blockweave.sources import network as S
 
@@ -138,7 +138,7 @@ def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     streets = network.simple(network.boundary_edges(feats), F.col("length_m")).select("lo", "hi").union(strong).distinct()
     shapes = polygonize.face_rings(streets, nodes).withColumn("area_ha", G.mercator_hectares(F.col("ring"))).where("area_ha between 4 and 25")
     shapes = partition.cut(shapes.select("cell_id", "ring"))
-    links = spatial.crossed_edges(network.with_points(feats, nodes), shapes)
+    links = lines.crossed_edges(network.with_points(feats, nodes), shapes)
     roles = links.withColumn("role", F.when(F.col("role") == "perimeter", "boundary").otherwise(F.col("role")))
     return partition.cut(blocks.score(shapes, roles, feats, central)), roles
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions.lineage import cut
-from blockweave.operators import graphs, network, simplify, sizing
+from blockweave.operators import graphs, lines, network, simplify, sizing
 from blockweave.sources import network as S
 from blockweave.sources import town
 
@@ -64,3 +64,11 @@ def town_directions(spark, d):
 def town_size_recommendation(spark, d):
     n = town.nodes(spark, d)
     return sizing.recommend(sizing.grid(network.with_points(town.edges(spark, d), n), n.count()), 9000.0, 47.5)
+
+
+@query
+def town_streets_in_cells(spark, d):
+    """How the town's bent streets lie to the grid's cells: those that meet the outline, lie within, or cross it, and the role that follows."""
+    r = lines.relations(town.lines(spark, d), S.cells(spark, d), ["street_id"])
+    role = F.when(F.col("meets"), "perimeter").when(F.col("holds"), "interior")
+    return r.select("street_id", "cell_id", "meets", (F.col("inside") & ~F.col("outside")).alias("within"), (F.col("inside") & F.col("outside")).alias("crosses"), role.alias("role"))

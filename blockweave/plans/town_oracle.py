@@ -54,4 +54,19 @@ rg AS (SELECT any_value(o) AS o, sum(CASE WHEN away <= 15 OR abs(away - 90) <= 1
 lm AS (SELECT *, CASE WHEN regularity < 0.5 THEN 240.0::DOUBLE ELSE 300.0::DOUBLE END AS lo, CASE WHEN regularity < 0.5 THEN 600.0::DOUBLE ELSE 500.0::DOUBLE END AS hi FROM rg),
 rs AS (SELECT lo AS min_side, least(CASE WHEN block * 3.5 BETWEEN lo AND hi THEN block * 3.5 ELSE 400.0::DOUBLE END, 420.0::DOUBLE) AS side, least(hi, 504.0::DOUBLE) AS max_side, o * 0.9::DOUBLE + 1.5::DOUBLE AS orientation, regularity FROM lm)
 SELECT *, min_side * min_side / 10000 AS min_ha, side * side / 10000 AS ha, max_side * max_side / 10000 AS max_ha FROM rs""",
+    # Pieces are clipped to the rectangle of a cell: the range of places along them that lie in all four half-planes.
+    "town_streets_in_cells": TOWN + """, pt AS (SELECT p * 2 + axis AS street_id, k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM pc
+  JOIN tn a ON a.node = CASE WHEN k = 0 THEN p * 16 ELSE p * 16 + axis * 5 + k END JOIN tn b ON b.node = CASE WHEN k + 1 = n THEN q * 16 ELSE p * 16 + axis * 5 + k + 1 END),
+cl AS (SELECT a.p AS cell_id, 19.0::DOUBLE + a.cx / 1024.0::DOUBLE AS x0, 47.5::DOUBLE + a.cy * 5.0::DOUBLE / 8192.0::DOUBLE AS y0, 19.0::DOUBLE + b.cx / 1024.0::DOUBLE AS x9, 47.5::DOUBLE + b.cy * 5.0::DOUBLE / 8192.0::DOUBLE AS y9
+  FROM jn a JOIN jn b ON b.cx = a.cx + 4 AND b.cy = a.cy + 4 WHERE a.cx % 4 = 0 AND a.cy % 4 = 0),
+nr AS (SELECT DISTINCT street_id, cell_id FROM pt JOIN cl ON greatest(x1, x2) >= x0 AND least(x1, x2) <= x9 AND greatest(y1, y2) >= y0 AND least(y1, y2) <= y9),
+cp AS (SELECT nr.street_id, nr.cell_id, x1, y1, x2, y2, x0, y0, x9, y9, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len,
+  CASE WHEN x1 = x2 THEN CASE WHEN x1 BETWEEN x0 AND x9 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END ELSE least((x0 - x1) / (x2 - x1), (x9 - x1) / (x2 - x1)) END AS xa, CASE WHEN x1 = x2 THEN 1.0::DOUBLE ELSE greatest((x0 - x1) / (x2 - x1), (x9 - x1) / (x2 - x1)) END AS xb,
+  CASE WHEN y1 = y2 THEN CASE WHEN y1 BETWEEN y0 AND y9 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END ELSE least((y0 - y1) / (y2 - y1), (y9 - y1) / (y2 - y1)) END AS ya, CASE WHEN y1 = y2 THEN 1.0::DOUBLE ELSE greatest((y0 - y1) / (y2 - y1), (y9 - y1) / (y2 - y1)) END AS yb
+  FROM nr JOIN cl USING (cell_id) JOIN pt USING (street_id)),
+ct AS (SELECT *, greatest(xa, ya, 0.0::DOUBLE) AS ta, least(xb, yb, 1.0::DOUBLE) AS tb FROM cp),
+cf AS (SELECT *, x1 > x0 AND x1 < x9 AND y1 > y0 AND y1 < y9 AND x2 > x0 AND x2 < x9 AND y2 > y0 AND y2 < y9 AS deep, x1 + (ta + tb) / 2 * (x2 - x1) AS mx, y1 + (ta + tb) / 2 * (y2 - y1) AS my FROM ct),
+rl AS (SELECT street_id, cell_id, bool_or(ta <= tb AND NOT deep) AS meets, bool_or(ta < tb AND mx > x0 AND mx < x9 AND my > y0 AND my < y9) AS inside, bool_or(NOT (ta = 0 AND tb = 1)) AS outside,
+  sum(len * (x1 + x2) / 2) / sum(len) AS gx, sum(len * (y1 + y2) / 2) / sum(len) AS gy, any_value(x0) AS x0, any_value(y0) AS y0, any_value(x9) AS x9, any_value(y9) AS y9 FROM cf GROUP BY 1, 2)
+SELECT street_id, cell_id, meets, inside AND NOT outside AS within, inside AND outside AS crosses, CASE WHEN meets THEN 'perimeter' WHEN gx > x0 AND gx < x9 AND gy > y0 AND gy < y9 THEN 'interior' END AS role FROM rl WHERE meets OR inside""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
 from blockweave.functions import roads as R
-from blockweave.operators import access, blocks, display, network, noding, partition, places, spatial
+from blockweave.operators import access, blocks, display, lines, network, noding, partition, places, spatial
 from blockweave.plans import catalog as C
 from blockweave.sources import geojson, partition_store
 from blockweave.sources import network as S
@@ -122,7 +122,7 @@ def last_changes(spark, d):
 
 @query
 def cell_touching_edges(spark, d):
-    return spatial.crossed_edges(network.with_points(C._features(spark, d), S.nodes(spark, d)), S.cells(spark, d))
+    return lines.crossed_edges(network.with_points(C._features(spark, d), S.nodes(spark, d)), S.cells(spark, d))
 
 
 @query
