@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from blockweave.functions import geometry as G
 from blockweave.functions.lineage import cut
+from blockweave.operators.spatial import points_in_boxes
 
 
 def _without_dangles(links: DataFrame) -> DataFrame:
@@ -104,6 +106,52 @@ def ring_of(pdf: pd.DataFrame) -> list[dict[str, float]] | None:
 
 
 RING = "ring array<struct<x:double,y:double>>"
+HOLES = "holes array<array<struct<x:double,y:double>>>"
+
+
+def polygon_of(pdf: pd.DataFrame) -> tuple[list | None, list]:
+    """The outline and the holes of directed sides (a, b, ax, ay): the largest loop that runs counter-clockwise, and the loops that run the other way."""
+    at = dict(zip(pdf["a"].tolist(), zip(pdf["ax"].tolist(), pdf["ay"].tolist(), strict=True), strict=True))
+    every = loops(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
+    size = lambda w: sum(at[p][0] * at[q][1] - at[q][0] * at[p][1] for p, q in zip(w, w[1:], strict=False))
+    points = lambda w: [{"x": at[p][0], "y": at[p][1]} for p in w]
+    shell = max((w for w in every if size(w) > 0), key=lambda w: (size(w), w), default=None)
+    return shell and points(shell), [points(w) for w in sorted(every) if size(w) < 0]
+
+
+def polygons(sides: DataFrame, key: str) -> DataFrame:
+    """(key, ring, holes) of directed sides (key, a, b, ax, ay) with the inside to their left; ring is null where all run clockwise."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring, holes = polygon_of(pdf)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "ring": [ring], "holes": [holes]})
+
+    return sides.select(key, "a", "b", "ax", "ay").groupBy(key).applyInPandas(solve, f"{key} long, {RING}, {HOLES}")
+
+
+def face_polygons(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cell_id, ring, holes, area2) of the bounded faces; area2 is twice the area of the outline less its holes.
+
+    A hole is an island: of those that a bridge joins with the outline the face's own walk
+    knows, the others are components of their own.  The outer ring of a component is a hole
+    of the smallest face that holds its leftmost node; the face can't touch that node, as
+    components share none, and no face of the component itself holds it.  Outer rings
+    that no face holds, which may be as long as the network, are never gathered.
+    """
+    labelled = _labelled(links, nodes).withColumn("cell_id", F.xxhash64("label.a", "label.b"))
+    areas = cut(labelled.groupBy("cell_id").agg(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("area2"), F.min(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"))).alias("first")))
+    inner = cut(polygons(labelled.join(areas.where("area2 > 0").select("cell_id"), "cell_id", "left_semi"), "cell_id").where("ring is not null"))
+    outer = areas.where("area2 < 0").select(F.col("cell_id").alias("island"), F.col("area2").alias("less"), "first.x", "first.y")
+    size = areas.select("cell_id", "area2")
+    held = points_in_boxes(outer, inner.select("cell_id", "ring")).where(G.contains(F.col("ring"), F.col("x"), F.col("y")) & (G.boundary_distance(F.col("ring"), F.col("x"), F.col("y")) > 1e-12))
+    held = held.select("island", "less", "cell_id").join(size, "cell_id").groupBy("island", "less").agg(F.min(F.struct("area2", "cell_id")).alias("m"))
+    held = cut(held.select("island", "less", F.col("m.cell_id").alias("cell_id")))
+    sides = labelled.withColumnRenamed("cell_id", "island").join(held.select("island"), "island", "left_semi")
+    rings_of = polygons(sides, "island").select("island", F.explode("holes").alias("hole"))
+    islands = held.join(rings_of, "island").groupBy("cell_id").agg(F.array_sort(F.collect_list("hole")).alias("more"))
+    less = held.groupBy("cell_id").agg(F.sum("less").alias("less"))
+    out = inner.join(size, "cell_id").join(islands, "cell_id", "left").join(less, "cell_id", "left")
+    return out.select("cell_id", "ring", F.concat("holes", F.coalesce("more", F.array().cast(HOLES.split(" ", 1)[1]))).alias("holes"), (F.col("area2") + F.coalesce("less", F.lit(0.0))).alias("area2"))
 
 
 def rings(sides: DataFrame, key: str) -> DataFrame:

@@ -25,12 +25,17 @@ def bucketed(shapes: DataFrame, ring: str = "ring", size: float = BUCKET, margin
     return s.withColumn("by", F.explode(F.sequence(_bucket(F.col("y0"), size), _bucket(F.col("y1"), size))))
 
 
-def points_in_cells(points: DataFrame, cells: DataFrame, size: float = BUCKET) -> DataFrame:
-    """Points (any columns with x, y) with the cell_id that contains them; the smallest of several."""
+def points_in_boxes(points: DataFrame, cells: DataFrame, size: float = BUCKET) -> DataFrame:
+    """Points (any columns with x, y) with cell_id and ring of each cell in whose box they lie."""
     p = points.withColumns({"bx": _bucket(F.col("x"), size), "by": _bucket(F.col("y"), size)})
     in_box = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     near = p.join(bucketed(cells.select("cell_id", "ring"), size=size), ["bx", "by"]).where(in_box)
-    hits = near.where(G.contains(F.col("ring"), F.col("x"), F.col("y")))
+    return near.drop("bx", "by", "x0", "x1", "y0", "y1")
+
+
+def points_in_cells(points: DataFrame, cells: DataFrame, size: float = BUCKET) -> DataFrame:
+    """Points (any columns with x, y) with the cell_id that contains them; the smallest of several."""
+    hits = points_in_boxes(points, cells, size).where(G.contains(F.col("ring"), F.col("x"), F.col("y")))
     keys = [c for c in points.columns]
     return hits.groupBy(*keys).agg(F.min("cell_id").alias("cell_id"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions.lineage import cut
-from blockweave.operators import graphs, lines, network, simplify, sizing
+from blockweave.operators import graphs, lines, network, partition, polygonize, simplify, sizing
 from blockweave.sources import network as S
 from blockweave.sources import town
 
@@ -72,3 +72,15 @@ def town_streets_in_cells(spark, d):
     r = lines.relations(town.lines(spark, d), S.cells(spark, d), ["street_id"])
     role = F.when(F.col("meets"), "perimeter").when(F.col("holds"), "interior")
     return r.select("street_id", "cell_id", "meets", (F.col("inside") & ~F.col("outside")).alias("within"), (F.col("inside") & F.col("outside")).alias("crosses"), role.alias("role"))
+
+
+@query
+def town_faces(spark, d):
+    """Faces between the town's streets, with the islands in them as holes."""
+    at = network.with_points(town.edges(spark, d), town.nodes(spark, d)).where("u < v")
+    segments = cut(at.select(F.xxhash64("u", "v").alias("seg_id"), F.col("ux").alias("x1"), F.col("uy").alias("y1"), F.col("vx").alias("x2"), F.col("vy").alias("y2")).distinct())
+    pieces = cut(partition.noded(segments))
+    ends = pieces.select(F.col("a").alias("node_id"), F.col("x1").alias("x"), F.col("y1").alias("y")).union(pieces.select("b", "x2", "y2"))
+    points = cut(ends.groupBy("node_id").agg(F.min("x").alias("x"), F.min("y").alias("y")))
+    f = polygonize.face_polygons(pieces.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), points)
+    return f.select("cell_id", F.size("ring").alias("corners"), F.size("holes").alias("islands"), F.round("area2", 12).alias("area2"))
