@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions.lineage import cut
-from blockweave.operators import graphs, lines, network, partition, polygonize, simplify, sizing
+from blockweave.operators import graphs, lines, network, partition, polygonize, simplify, sizing, validity
 from blockweave.sources import network as S
 from blockweave.sources import town
 
@@ -84,3 +84,16 @@ def town_faces(spark, d):
     points = cut(ends.groupBy("node_id").agg(F.min("x").alias("x"), F.min("y").alias("y")))
     f = polygonize.face_polygons(pieces.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), points)
     return f.select("cell_id", F.size("ring").alias("corners"), F.size("holes").alias("islands"), F.round("area2", 12).alias("area2"))
+
+
+@query
+def ring_reasons(spark, d):
+    """Blocks by the reason for which their ring isn't a simple polygon."""
+    return validity.reasons(town.rings(spark, d)).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("rings"))
+
+
+@query
+def ring_repairs(spark, d):
+    """What is left of each block's ring: its parts and twice their area."""
+    parts = validity.repaired(town.rings(spark, d)).groupBy("cell_id").agg(F.count("*").alias("parts"), F.round(F.sum("area2"), 9).alias("area2"))
+    return parts.select("cell_id", "parts", "area2")

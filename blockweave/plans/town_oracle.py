@@ -69,4 +69,11 @@ cf AS (SELECT *, x1 > x0 AND x1 < x9 AND y1 > y0 AND y1 < y9 AND x2 > x0 AND x2
 rl AS (SELECT street_id, cell_id, bool_or(ta <= tb AND NOT deep) AS meets, bool_or(ta < tb AND mx > x0 AND mx < x9 AND my > y0 AND my < y9) AS inside, bool_or(NOT (ta = 0 AND tb = 1)) AS outside,
   sum(len * (x1 + x2) / 2) / sum(len) AS gx, sum(len * (y1 + y2) / 2) / sum(len) AS gy, any_value(x0) AS x0, any_value(y0) AS y0, any_value(x9) AS x9, any_value(y9) AS y9 FROM cf GROUP BY 1, 2)
 SELECT street_id, cell_id, meets, inside AND NOT outside AS within, inside AND outside AS crosses, CASE WHEN meets THEN 'perimeter' WHEN gx > x0 AND gx < x9 AND gy > y0 AND gy < y9 THEN 'interior' END AS role FROM rl WHERE meets OR inside""",
+    "ring_reasons": TOWN + """SELECT CASE a.p % 6 WHEN 1 THEN 'crossing' WHEN 2 THEN 'repeated' WHEN 3 THEN 'spike' WHEN 5 THEN 'spike' ELSE 'valid' END AS reason, count(*) AS rings
+FROM jp a, g WHERE a.cx + 1 < gw AND a.p + gw + 1 < np GROUP BY 1""",
+    # Corners from the first one on; the diagonals' place of a bow tie by Cramer's rule, of its two lobes the larger one.
+    "ring_repairs": TOWN + """, qd AS (SELECT a.p, b.x - a.x AS bx, b.y - a.y AS by_, c.x - a.x AS cx, c.y - a.y AS cy, d.x - a.x AS dx, d.y - a.y AS dy FROM jp a, g, jp b, jp c, jp d WHERE a.cx + 1 < gw AND b.p = a.p + 1 AND c.p = a.p + gw + 1 AND d.p = a.p + gw AND a.p % 6 <> 5),
+cr AS (SELECT *, (bx * (dy - by_) - by_ * (dx - bx)) / (cx * (dy - by_) - cy * (dx - bx)) AS t FROM qd),
+ar AS (SELECT p, bx * cy - cx * by_ + cx * dy - dx * cy AS whole, bx * (t * cy) - (t * cx) * by_ AS lower, (cx - dx) * (t * cy - dy) - (t * cx - dx) * (cy - dy) AS upper FROM cr)
+SELECT p AS cell_id, 1 AS parts, round(CASE WHEN p % 6 = 1 THEN greatest(abs(lower), abs(upper)) ELSE abs(whole) END, 9) AS area2 FROM ar""",
 }
