@@ -42,7 +42,7 @@ def simple_score(ha: Column, interior: Column, perimeter: Column, round_: Column
 
 
 def score(cells: DataFrame, links: DataFrame, feats: DataFrame, centrality: DataFrame | None = None) -> DataFrame:
-    """Six criteria and their weighted total of each cell (cell_id, ring), from its edges by role.
+    """Six criteria, their weighted total and the mean centralities of each cell (cell_id, ring), from its edges by role.
 
     feats have u, v, key, osmid, highway and lanes; centrality has lo, hi, centrality (0 where missing).
     Perimeters count 30 roads at most and interiors 50, as the score defines.
@@ -63,7 +63,7 @@ def score(cells: DataFrame, links: DataFrame, feats: DataFrame, centrality: Data
         "access": walk_score(metres, F.least("perimeter", F.lit(20))), "density": density_score(F.col("interior"), F.col("area_ha")), "edge": boundary_score(F.coalesce("cap", F.lit(0))),
     })
     total = 0.15 * F.col("size") + 0.10 * F.col("shape") + 0.25 * F.col("traffic") + 0.20 * F.col("access") + 0.15 * F.col("density") + 0.15 * F.col("edge")
-    return t.select("cell_id", "area_ha", "perimeter", "interior", "size", "shape", "traffic", "access", "density", "edge", total.alias("total"))
+    return t.select("cell_id", "area_ha", "perimeter", "interior", "size", "shape", "traffic", "access", "density", "edge", total.alias("total"), F.coalesce("c_edge", F.lit(0.0)).alias("c_edge"), F.coalesce("c_inner", F.lit(0.0)).alias("c_inner"), metres.alias("walk_m"))
 
 
 def interventions(cells: DataFrame, links: DataFrame, feats: DataFrame) -> DataFrame:
@@ -160,6 +160,17 @@ def street_changes(links: DataFrame, sectors: DataFrame, feats: DataFrame) -> Da
 ACCESS = {"no_change": ["all"], "one_way": ["residents", "delivery", "emergency"], "pedestrianize": ["emergency", "delivery_hours"], "modal_filter": ["bicycle", "emergency"], "local_access": ["residents", "delivery", "emergency"]}
 
 
+# Why a street is changed or not, as results must say it.
+RATIONALE = {
+    "no_change": "Boundary road - maintains through traffic capacity", "one_way": "Converted to one-way for local access only", "pedestrianize": "Central location - full pedestrianization",
+    "modal_filter": "Modal filter - allows cycling and emergency access", "local_access": "Local access only - no through traffic",
+}
+
+
+def rationale(action: Column) -> Column:
+    return F.coalesce(*[F.when(action == k, F.lit(v)) for k, v in RATIONALE.items()])
+
+
 def access_allowed(action: Column) -> Column:
     return F.coalesce(*[F.when(action == k, F.array(*[F.lit(w) for w in who])) for k, who in ACCESS.items()])
 
@@ -183,13 +194,19 @@ def modification_records(changes: DataFrame, edges: DataFrame, nodes: DataFrame)
 
 
 def candidates(scored: DataFrame) -> DataFrame:
-    """Rows of ``score`` with what follows from them: walking metres are left to the caller; traffic_impact is null without inner roads."""
+    """Rows of ``score`` with what follows from them; traffic_impact is null without inner roads.
+
+    Filters leave residents and emergency services their way; public transport isn't known.
+    """
     cut_ = F.least(F.lit(80.0), 0.8 * F.col("traffic"))
     impact = F.struct(F.round(cut_, 1).alias("removed_through_traffic_pct"), F.round(cut_ * 0.3, 1).alias("boundary_load_increase_pct"), F.round(F.col("area_ha") * cut_ * 0.5).alias("estimated_vmt_reduction"), (F.col("interior") * 2).alias("affected_od_pairs"))
     parts = ("size", "shape", "traffic", "access", "density", "edge")
     return scored.select(
         "cell_id", "area_ha", F.round("total", 1).alias("score"), F.struct(*[F.round(p, 1).alias(p) for p in parts], F.round("total", 1).alias("total")).alias("score_breakdown"),
-        F.struct(F.greatest(F.lit(4), F.floor(F.least("perimeter", F.lit(20)) / 2)).cast("int").alias("delivery_access_points"), F.lit(True).alias("emergency_access_maintained")).alias("accessibility"),
+        F.struct(
+            F.round("walk_m").alias("max_walking_distance_to_boundary"), F.greatest(F.lit(4), F.floor(F.least("perimeter", F.lit(20)) / 2)).cast("int").alias("delivery_access_points"),
+            F.lit(True).alias("emergency_access_maintained"), F.lit(True).alias("residential_access_maintained"), F.lit(False).alias("public_transport_affected"),
+        ).alias("accessibility"),
         F.when(F.col("interior") > 0, impact).alias("traffic_impact"),
     )
 
@@ -197,3 +214,46 @@ def candidates(scored: DataFrame) -> DataFrame:
 def serialised(rows: DataFrame) -> DataFrame:
     """(cell_id, json): parts that are null or empty are left out."""
     return rows.select("cell_id", F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "true"}).alias("json"))
+
+
+#: Ids of a result's perimeter and interior, interventions of a block, and blocks that have them, as results define it.
+PERIMETER, INTERIOR, INTERVENTIONS, PLANNED = 30, 50, 100, 20
+
+
+def road_lists(links: DataFrame, feats: DataFrame) -> DataFrame:
+    """(cell_id, perimeter_roads, interior_roads): the smallest ids of each role, as many as a result has."""
+    ids = links.join(feats.select("u", "v", "key", "osmid"), ["u", "v", "key"]).select("cell_id", "role", "osmid").distinct()
+    of = lambda role, most: F.slice(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("osmid")))), 1, most)
+    return ids.groupBy("cell_id").agg(of("boundary", PERIMETER).alias("perimeter_roads"), of("interior", INTERIOR).alias("interior_roads"))
+
+
+def planned(cells: DataFrame, links: DataFrame, feats: DataFrame, names: DataFrame) -> DataFrame:
+    """(cell_id, interventions): what is done to the streets of each block, in the order of their edges (u, v, key).
+
+    names are (u, v, key, name), of which the first one counts.
+    """
+    what = interventions(cells, links, feats).join(feats.select("u", "v", "key", "osmid"), ["u", "v", "key"]).join(names.select("u", "v", "key", F.get("name", F.lit(0)).alias("name")), ["u", "v", "key"], "left")
+    record = F.struct(
+        F.col("osmid").alias("osm_id"), "name", F.col("action").alias("intervention_type"), "direction", access_allowed(F.col("action")).alias("access_allowed"), rationale(F.col("action")).alias("rationale"),
+    )
+    each = F.array_sort(F.collect_list(F.struct("u", "v", "key", record.alias("record"))))
+    return what.groupBy("cell_id").agg(F.slice(F.transform(each, lambda x: x["record"]), 1, INTERVENTIONS).alias("interventions"))
+
+
+def results(best: DataFrame, cells: DataFrame, links: DataFrame, feats: DataFrame, names: DataFrame, geometry: Column) -> DataFrame:
+    """(rank, cell_id, json) of ranked rows of ``score`` (with rank from 1): geometry, roads, means, scores, and interventions of the first ones.
+
+    geometry is a column of the cells.  Parts that are empty or null are left out.
+    """
+    first = best.where(F.col("rank") <= PLANNED).select("cell_id")
+    own = lambda df: df.join(best.select("cell_id"), "cell_id", "left_semi")
+    plan = planned(cells.join(first, "cell_id", "left_semi"), links.join(first, "cell_id", "left_semi"), feats, names)
+    # As many rows as a result has blocks.
+    t = candidates(best).join(best.select("cell_id", "rank", "perimeter", "c_edge", "c_inner"), "cell_id")
+    t = t.join(road_lists(own(links), feats), "cell_id", "left").join(plan, "cell_id", "left").join(own(cells).select("cell_id", geometry.alias("geometry")), "cell_id")
+    full = F.struct(
+        F.col("cell_id").cast("string").alias("id"), "geometry", F.round("area_ha", 2).alias("area_hectares"), "perimeter_roads", "interior_roads", "score", F.lit("centrality_based").alias("algorithm"),
+        F.col("c_edge").alias("boundary_centrality_mean"), F.col("c_inner").alias("interior_centrality_mean"), F.least("perimeter", F.lit(20)).alias("num_access_points"),
+        "score_breakdown", F.expr("if(size(interventions) > 0, interventions, null)").alias("interventions"), "accessibility", "traffic_impact",
+    )
+    return t.select("rank", "cell_id", F.to_json(full, {"ignoreNullFields": "true"}).alias("json"))

@@ -181,7 +181,7 @@ def cell_street_changes(spark, d):
 
 @query
 def cell_scores(spark, d):
-    return blocks.score(S.cells(spark, d), _links(spark, d), _features(spark, d), edge_betweenness(spark, d))
+    return blocks.score(S.cells(spark, d), _links(spark, d), _features(spark, d), edge_betweenness(spark, d)).drop("c_edge", "c_inner", "walk_m")
 
 
 @query

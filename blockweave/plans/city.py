@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from json import dumps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
 from blockweave.operators import access, blocks, graphs, lines, network, partition, polygonize, routing, spatial
 from blockweave.plans import catalog as C
+from blockweave.sources import geojson
 from blockweave.sources import network as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,27 +131,36 @@ def network_stats(spark, d):
     return t.crossJoin(S.nodes(spark, d).agg(F.count("*").alias("total_nodes")))  # a row each
 
 
-def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Scored faces of important or central streets inside the area window, and their edges by role."""
+#: Hectares of blocks of the analysis, and the percentile of centrality from which streets are strong.
+LEAST_HA, MOST_HA, PERCENTILE = 4, 25, 70
+
+
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scored faces of important or central streets inside the area window, their edges by role, and their rings."""
     feats, nodes = partition.cut(C._features(spark, d)), S.nodes(spark, d)
     central = partition.cut(C.edge_betweenness(spark, d))
     both = feats.select("u", "v", "key", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).join(central, ["lo", "hi"], "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
-    least = network.index_percentile(both, "centrality", 70).select(F.col("value").alias("least"))
+    least = network.index_percentile(both, "centrality", PERCENTILE).select(F.col("value").alias("least"))
     strong = central.join(F.broadcast(least), F.col("centrality") >= F.col("least"), "left_semi").select("lo", "hi")  # one row
     streets = network.simple(network.boundary_edges(feats), F.col("length_m")).select("lo", "hi").union(strong).distinct()
-    shapes = polygonize.face_rings(streets, nodes).withColumn("area_ha", G.mercator_hectares(F.col("ring"))).where("area_ha between 4 and 25")
+    shapes = polygonize.face_rings(streets, nodes).withColumn("area_ha", G.mercator_hectares(F.col("ring"))).where(F.col("area_ha").between(LEAST_HA, MOST_HA))
     shapes = partition.cut(shapes.select("cell_id", "ring"))
     links = lines.crossed_edges(network.with_points(feats, nodes), shapes)
     roles = links.withColumn("role", F.when(F.col("role") == "perimeter", "boundary").otherwise(F.col("role")))
-    return partition.cut(blocks.score(shapes, roles, feats, central)), roles
+    roles = partition.cut(roles)
+    return partition.cut(blocks.score(shapes, roles, feats, central)), roles, shapes
+
+
+def _ranked(scored: DataFrame) -> DataFrame:
+    """The fifty best blocks, with their rank."""
+    best = scored.orderBy(F.desc(F.round("total", 1)), "cell_id").limit(50)
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("total", 1)), "cell_id")))  # fifty rows
 
 
 @query
 def analysis_candidates(spark, d):
     """The fifty best blocks of the analysis, with what follows from their scores."""
-    scored, _ = _candidates(spark, d)
-    best = scored.orderBy(F.desc(F.round("total", 1)), "cell_id").limit(50)
-    return blocks.candidates(best)
+    return blocks.candidates(_ranked(_candidates(spark, d)[0]))
 
 
 @query
@@ -157,6 +169,21 @@ def analysis_json(spark, d):
     return blocks.serialised(analysis_candidates(spark, d))
 
 
+@query
+def analysis_result(spark, d):
+    """The whole result of the analysis as JSON: its parameters, the network's numbers, and the fifty best blocks in order."""
+    scored, roles, shapes = _candidates(spark, d)
+    feats, e = network.with_points(C._features(spark, d), S.nodes(spark, d)), S.edges(spark, d)
+    best = partition.cut(_ranked(scored))
+    made = blocks.results(best, shapes, roles, feats, e.select("u", "v", "key", "name"), geojson.polygon(F.col("ring")))
+    row = lambda df, part, rank, json: df.select(F.lit(part).alias("part"), rank.alias("rank"), json.alias("json"))
+    params = {"min_area_hectares": LEAST_HA, "max_area_hectares": MOST_HA, "centrality_threshold_percentile": PERCENTILE}
+    first = F.lit(0)
+    out = row(network_stats(spark, d), "network_stats", first, F.to_json(F.struct("*")))
+    out = out.unionByName(row(spark.range(1), "analysis_params", first, F.lit(dumps(params))))
+    return out.unionByName(row(made, "candidate", F.col("rank"), F.col("json")))
+
+
 def _trips(spark: SparkSession, d: str) -> DataFrame:
     """From each even address to the next one."""
     a = S.addresses(spark, d)

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 POLYGON = "type string, coordinates array<array<array<double>>>"
 
 
-def to_polygon(ring: Column) -> Column:
+def polygon(ring: Column) -> Column:
+    """A polygon as a struct, to be part of a larger text."""
     points = F.transform(ring, lambda p: F.array(p["x"], p["y"]))
-    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates")))
+    return F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates"))
+
+
+def to_polygon(ring: Column) -> Column:
+    return F.to_json(polygon(ring))
 
 
 def from_polygon(text: Column) -> Column:
