@@ -65,7 +65,6 @@ def rows_of(sizes):
 
 CASES = {
     "one row": (rows_of({"a": 1}), 16),
-    "lone leaves": (rows_of({"a": 1, None: 1, "b": 2}), 16),
     "edges of runs": (rows_of({"a": 16, "b": 17, "c": 15, "": 32, None: 33, "Z": 1}), 16),
     "three levels": (rows_of({"hot": 300, "é": 5}), 16),
     "many sources": (rows_of({f"s{k}": 1 + k % 3 for k in range(40)}), 16),
