@@ -92,3 +92,32 @@ def line_of(geometry: Column, ux: Column, uy: Column, vx: Column, vy: Column) ->
 def coupled(low: Column, high: Column, gap: float, moved: str) -> tuple[Column, Column]:
     """Limits that keep a gap: the one that wasn't moved gives way."""
     return (low, F.greatest(low + gap, high)) if moved == "low" else (F.least(low, high - gap), high)
+
+
+def arrows(line: Column) -> Column:
+    """place, x, y and angle of the arrows of a line: degrees from east, from the point before to the one behind."""
+    n = F.size(line)
+    one = lambda k: F.struct(
+        k.alias("place"), F.get(line, k)["x"].alias("x"), F.get(line, k)["y"].alias("y"),
+        F.degrees(F.atan2(F.get(line, F.least(n - 1, k + 1))["y"] - F.get(line, F.greatest(F.lit(0), k - 1))["y"], F.get(line, F.least(n - 1, k + 1))["x"] - F.get(line, F.greatest(F.lit(0), k - 1))["x"])).alias("angle"),
+    )
+    return F.when(n >= 2, F.transform(arrow_places(n), one))
+
+
+# Colours of interventions, of streets of a chosen block without one and of those outside, and of changes.
+INTERVENTION_COLOURS = {"pedestrianize": "34,197,94,255", "one_way": "59,130,246,255", "modal_filter": "251,191,36,255", "local_access": "168,85,247,255", "no_change": "156,163,175,200"}
+INNER_COLOUR, FADED_COLOUR = "100,100,100,180", "200,200,200,100"
+CHANGE_COLOURS = {"modal_filter": "239,68,68,255", "one_way": "59,130,246,255", "full_closure": "124,58,237,255"}
+OTHER_CHANGE = "251,191,36,255"
+
+
+def street_colour(mode: Column, intensity: Column, chosen: Column, action: Column, role: Column, change: Column, rank: Column) -> Column:
+    """Colour of a street by what the map shows: traffic; the interventions of a chosen block, its perimeter, its interior, other streets faded; changes; or the class.
+
+    mode is traffic, interventions, partition or class; chosen tells whether there is a block to show.
+    """
+    named = lambda table, key, other: F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in table.items()], F.lit(other))
+    traffic = F.concat_ws(",", F.least(F.lit(255), F.floor(intensity / 100 * 255)).cast("string"), F.least(F.lit(255), F.floor((1 - intensity / 100) * 200)).cast("string"), F.lit("50"), F.lit("220"))
+    block = F.when(action.isNotNull(), named(INTERVENTION_COLOURS, action, PLAIN_STYLE[0])).when(role == "boundary", INTERVENTION_COLOURS["no_change"]).when(role == "interior", INNER_COLOUR).otherwise(FADED_COLOUR)
+    style, _ = road_style(rank)
+    return F.when(mode == "traffic", traffic).when((mode == "interventions") & chosen, block).when((mode == "partition") & change.isNotNull(), named(CHANGE_COLOURS, change, OTHER_CHANGE)).otherwise(style)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions.lineage import cut
-from blockweave.operators import graphs, lines, network, partition, polygonize, simplify, sizing, validity
+from blockweave.operators import access, display, graphs, lines, network, partition, polygonize, simplify, sizing, traffic, validity
+from blockweave.plans import catalog as C
 from blockweave.sources import network as S
 from blockweave.sources import town
 
@@ -97,3 +98,36 @@ def ring_repairs(spark, d):
     """What is left of each block's ring: its parts and twice their area."""
     parts = validity.repaired(town.rings(spark, d)).groupBy("cell_id").agg(F.count("*").alias("parts"), F.round(F.sum("area2"), 9).alias("area2"))
     return parts.select("cell_id", "parts", "area2")
+
+
+@query
+def town_arrows(spark, d):
+    """Arrows along the town's bent streets, with their bearing."""
+    a = town.lines(spark, d).select("street_id", F.posexplode(display.arrows(F.col("geom"))).alias("k", "a"))
+    return a.select("street_id", "k", "a.place", F.round("a.x", 9).alias("x"), F.round("a.y", 9).alias("y"), F.round("a.angle", 6).alias("angle"))
+
+
+@query
+def street_colours(spark, d):
+    """Colours of all streets in each mode of the map; the chosen block is the first cell."""
+    first = S.cells(spark, d).agg(F.min("cell_id").alias("cell_id"))
+    keys = ["u", "v", "key"]
+    action = C.cell_interventions(spark, d).join(F.broadcast(first), "cell_id").select(*keys, "action")  # one row
+    role = C._links(spark, d).join(F.broadcast(first), "cell_id").select(*keys, "role")
+    # Of a block's interventions only those off its perimeter are listed here, so that its outline shows as such.
+    action = action.where("action <> 'no_change' and action <> 'local_access'")
+    plan = C._planned(spark, d).withColumn("kind", F.when(F.col("lo") % 14 == 0, "full_closure").otherwise(F.col("kind")))
+    e = traffic.estimate(C._features(spark, d)).withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")})
+    e = e.join(plan, ["lo", "hi"], "left").join(action, keys, "left").join(role, keys, "left")
+    e = e.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in ("traffic", "interventions", "partition", "class")])))
+    colour = display.street_colour(F.col("mode"), F.col("traffic_intensity"), F.lit(True), F.col("action"), F.col("role"), F.col("kind"), F.col("hierarchy"))
+    return e.groupBy("mode", colour.alias("colour")).agg(F.count("*").alias("edges"), F.sum("u").alias("nodes"))
+
+
+@query
+def network_after_closures(spark, d):
+    """The grid after filters, one-way streets in either direction, and closures."""
+    s = C._simple(spark, d).where("lo % 7 = 0 or lo % 11 = 0 or lo % 13 = 0")
+    kind = F.when(F.col("lo") % 7 == 0, "modal_filter").when(F.col("lo") % 13 == 0, "full_closure").otherwise("one_way")
+    plan = s.select("lo", "hi", kind.alias("kind"), F.when(F.col("hi") % 2 == 0, "hi_to_lo").otherwise("lo_to_hi").alias("direction"))
+    return access.apply_changes(S.edges(spark, d), plan).select("u", "v", "key", "length")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from blockweave.plans.oracle import BASE, RANK
+
 # The town by arithmetic over part, spelt out anew so that nothing is shared with the library.
 TOWN = """
 WITH RECURSIVE g AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS gw, count(*) AS np FROM part),
@@ -76,4 +78,18 @@ FROM jp a, g WHERE a.cx + 1 < gw AND a.p + gw + 1 < np GROUP BY 1""",
 cr AS (SELECT *, (bx * (dy - by_) - by_ * (dx - bx)) / (cx * (dy - by_) - cy * (dx - bx)) AS t FROM qd),
 ar AS (SELECT p, bx * cy - cx * by_ + cx * dy - dx * cy AS whole, bx * (t * cy) - (t * cx) * by_ AS lower, (cx - dx) * (t * cy - dy) - (t * cx - dx) * (cy - dy) AS upper FROM cr)
 SELECT p AS cell_id, 1 AS parts, round(CASE WHEN p % 6 = 1 THEN greatest(abs(lower), abs(upper)) ELSE abs(whole) END, 9) AS area2 FROM ar""",
+    "town_arrows": TOWN + """, pz AS (SELECT p * 2 + axis AS street_id, n, k, node, tn.x, tn.y FROM (SELECT p, q, axis, n, k, CASE WHEN k = 0 THEN p * 16 WHEN k = n THEN q * 16 ELSE p * 16 + axis * 5 + k END AS node FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM bh)) JOIN tn USING (node)),
+aw AS (SELECT DISTINCT street_id, n, m AS k, CAST(floor(n * (m + 1) * 0.25::DOUBLE) AS INTEGER) AS place FROM pz, (SELECT unnest([0, 1, 2]) AS m))
+SELECT aw.street_id, aw.k, aw.place, round(o.x, 9) AS x, round(o.y, 9) AS y, round(degrees(atan2(b.y - a.y, b.x - a.x)), 6) AS angle FROM aw JOIN pz o ON o.street_id = aw.street_id AND o.k = place
+JOIN pz a ON a.street_id = aw.street_id AND a.k = greatest(0, place - 1) JOIN pz b ON b.street_id = aw.street_id AND b.k = least(aw.n, place + 1)""",
+    "street_colours": BASE + """, c1 AS (SELECT min(cell_id) AS cell_id FROM cells), lk AS (SELECT l.*, """ + RANK + """ AS hier, sqrt(pow((ux + vx) / 2 - (x0 + x1) / 2, 2) + pow((uy + vy) / 2 - (y0 + y1) / 2, 2)) / sqrt((x1 - x0) * (y1 - y0)) AS far FROM links l JOIN cells USING (cell_id) JOIN c1 USING (cell_id)),
+an AS (SELECT u, v, key, role, CASE WHEN role = 'boundary' THEN NULL WHEN hier <= 5 THEN '59,130,246,255' WHEN far < 0.3 THEN '34,197,94,255' WHEN hier >= 7 THEN '251,191,36,255' END AS tint FROM lk),
+st2 AS (SELECT hierarchy, CASE hierarchy WHEN 2 THEN '220,20,60,255' WHEN 3 THEN '255,69,0,255' WHEN 4 THEN '255,140,0,255' WHEN 5 THEN '255,215,0,255' WHEN 6 THEN '144,238,144,255' WHEN 7 THEN '152,251,152,255' WHEN 8 THEN '176,196,222,255' WHEN 9 THEN '211,211,211,255' END AS style FROM (SELECT DISTINCT hierarchy FROM f)),
+al AS (SELECT ti.*, style, tint, role FROM ti JOIN st2 USING (hierarchy) LEFT JOIN an USING (u, v, key)),
+md AS (SELECT u, 'traffic' AS mode, least(255, CAST(floor(intensity / 100.0::DOUBLE * 255) AS BIGINT)) || ',' || least(255, CAST(floor((1 - intensity / 100.0::DOUBLE) * 200) AS BIGINT)) || ',50,220' AS colour FROM al
+  UNION ALL SELECT u, 'interventions', CASE WHEN tint IS NOT NULL THEN tint WHEN role = 'boundary' THEN '156,163,175,200' WHEN role = 'interior' THEN '100,100,100,180' ELSE '200,200,200,100' END FROM al
+  UNION ALL SELECT u, 'partition', CASE WHEN least(u, v) % 14 = 0 THEN '124,58,237,255' WHEN least(u, v) % 7 = 0 THEN '239,68,68,255' WHEN least(u, v) % 11 = 0 THEN '59,130,246,255' ELSE style END FROM al
+  UNION ALL SELECT u, 'class', style FROM al)
+SELECT mode, colour, count(*) AS edges, CAST(sum(u) AS BIGINT) AS nodes FROM md GROUP BY 1, 2""",
+    "network_after_closures": BASE + """SELECT u, v, key, length FROM e WHERE least(u, v) % 7 <> 0 AND least(u, v) % 13 <> 0 AND NOT (least(u, v) % 11 = 0 AND CASE WHEN greatest(u, v) % 2 = 0 THEN u < v ELSE u > v END)""",
 }
