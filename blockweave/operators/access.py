@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockweave.functions.lineage import cut
 from blockweave.operators.graphs import components
+from blockweave.operators.wide_graphs import distances
 
 
 def apply_changes(edges: DataFrame, changes: DataFrame) -> DataFrame:
@@ -44,6 +46,33 @@ def violations(links: DataFrame, sectors: DataFrame, changes: DataFrame | None =
     return both.groupBy(F.col("a.cell_id").alias("cell_id"), F.col("a.sector").alias("sector_a"), F.col("b.sector").alias("sector_b")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("pairs"))
 
 
+def violation_paths(links: DataFrame, sectors: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """(cell_id, sector_a, sector_b, streets, path): for each two sectors that inner streets join, one shortest way from an entry of the one to an entry of the other.
+
+    All entries of a sector search together, in rounds of joins, each node keeping the
+    smallest node before it; of the nearest entries of the other sector the smallest one is
+    taken.  So the path doesn't depend on the order of anything.
+    """
+    inner = cut(_inside(links, changes))
+    at = lambda c: F.struct(F.col("cell_id").alias("c"), F.col(c).alias("n"))
+    arcs = inner.select(at("lo").alias("u"), at("hi").alias("v"), F.lit(1.0).alias("cost")).union(inner.select(at("hi"), at("lo"), F.lit(1.0)))
+    doors = cut(sectors.select(F.struct("cell_id", "sector").alias("task"), at("node_id").alias("node"), "sector"))
+    best = distances(arcs, doors.select("task", "node"))
+    met = best.join(doors.select("node", F.col("sector").alias("b")), "node").where(F.col("b") > F.col("task")["sector"])
+    first = met.groupBy("task", "b").agg(F.min(F.struct("cost", "node")).alias("m"))
+    now = cut(first.select("task", "b", F.col("m.cost").alias("streets"), F.col("m.node").alias("node"), F.array(F.col("m.node")["n"]).alias("path")))
+    came = best.where("came <> node").select("task", "node", "came")
+    done = None
+    while now.limit(1).count():
+        step = cut(now.join(came, ["task", "node"], "left"))
+        ended = step.where("came is null").select("task", "b", "streets", "path")
+        done = ended if done is None else done.unionByName(ended)
+        now = step.where("came is not null").select("task", "b", "streets", F.col("came").alias("node"), F.concat(F.array(F.col("came")["n"]), "path").alias("path"))
+    if done is None:
+        done = now.select("task", "b", "streets", "path")
+    return done.select(F.col("task.cell_id").alias("cell_id"), F.col("task.sector").alias("sector_a"), F.col("b").alias("sector_b"), F.col("streets").cast("int").alias("streets"), "path")
+
+
 def unreachable(links: DataFrame, sectors: DataFrame, changes: DataFrame) -> DataFrame:
     """(cell_id, node_id) of inner nodes that no entry reaches along the directed streets that are left.
 

@@ -353,6 +353,14 @@ def cell_violations(spark, d):
     return access.violations(links, _sectors(spark, d, links))
 
 
+@query
+def cell_violation_paths(spark, d):
+    """An example path for each two sectors of a cell that its inner streets join."""
+    links = _links(spark, d)
+    p = access.violation_paths(links, _sectors(spark, d, links))
+    return p.select("cell_id", "sector_a", "sector_b", "streets", F.array_join(F.transform("path", lambda n: n.cast("string")), ",").alias("path"))
+
+
 @query
 def cell_violations_after_changes(spark, d):
     return access.violations(*_changed(spark, d))

@@ -114,3 +114,16 @@ bb AS (SELECT total / greatest(1.0::DOUBLE, n / 4.0::DOUBLE) / 4 AS block, CASE
 ss AS (SELECT 300.0::DOUBLE AS min_side, least(CASE WHEN block * 3.5 BETWEEN 300 AND 500 THEN block * 3.5 ELSE 400.0::DOUBLE END, 420.0::DOUBLE) AS side, 500.0::DOUBLE AS max_side, o * 0.9::DOUBLE + 0.1::DOUBLE * 15 AS orientation FROM bb)
 SELECT min_side, side, max_side, orientation, 1.0::DOUBLE AS regularity, min_side * min_side / 10000 AS min_ha, side * side / 10000 AS ha, max_side * max_side / 10000 AS max_ha FROM ss""",
 }
+#: Entries by sector, without a plan.
+_SECTORS = VIEWS_SQL["cell_violations"].split("\ndr AS")[0].rstrip().rstrip(",")
+VIEWS_SQL["cell_violation_paths"] = (
+    _SECTORS
+    + """, ds(cell_id, sector, node, hops) USING KEY (cell_id, sector, node) AS (SELECT DISTINCT se.cell_id, sector, node_id, 0 FROM se
+  UNION SELECT ds.cell_id, ds.sector, ar.b, min(ds.hops) + 1 FROM ds JOIN ar ON ar.cell_id = ds.cell_id AND ar.a = ds.node LEFT JOIN recurring.ds AS q ON q.cell_id = ds.cell_id AND q.sector = ds.sector AND q.node = ar.b WHERE q.node IS NULL GROUP BY ds.cell_id, ds.sector, ar.b),
+dm AS MATERIALIZED (SELECT * FROM ds), nd AS (SELECT DISTINCT cell_id, a AS node FROM ar),
+fd AS (SELECT dm.cell_id, dm.sector AS sa, se.sector AS sb, arg_min(dm.node, (hops, dm.node)) AS node, min(hops) AS hops FROM dm JOIN se ON se.cell_id = dm.cell_id AND se.node_id = dm.node WHERE se.sector > dm.sector GROUP BY 1, 2, 3),
+pv AS MATERIALIZED (SELECT x.cell_id, x.sector, x.node, min(y.node) AS came FROM dm x JOIN ar ON ar.cell_id = x.cell_id AND ar.b = x.node JOIN dm y ON y.cell_id = x.cell_id AND y.sector = x.sector AND y.node = ar.a AND y.hops = x.hops - 1 GROUP BY 1, 2, 3),
+wk(cell_id, sa, sb, hops, node, far, path) AS (SELECT cell_id, sa, sb, hops, node, hops, CAST(node AS VARCHAR) FROM fd
+  UNION ALL SELECT wk.cell_id, sa, sb, wk.hops, came, far - 1, came || ',' || path FROM wk JOIN pv ON pv.cell_id = wk.cell_id AND pv.sector = wk.sa AND pv.node = wk.node WHERE far > 0)
+SELECT cell_id, sa AS sector_a, sb AS sector_b, hops AS streets, path FROM wk WHERE far = 0"""
+)
