@@ -244,9 +244,11 @@ def flagged(edges: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def inner_components(links: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """(cell_id, node_id, label): the smallest node of each component of a cell's inner streets."""
+    """(cell_id, node_id, label): the smallest node of each component of a cell's inner streets, those with a change of any kind left out."""
     at = lambda c: F.struct(F.col("cell_id").alias("c"), F.col(c).alias("n"))
-    labels = components(_inside(links, changes).select(at("lo").alias("lo"), at("hi").alias("hi")))
+    inner = _inside(links, None)
+    inner = inner if changes is None else inner.join(changes.select("cell_id", "lo", "hi").distinct(), ["cell_id", "lo", "hi"], "left_anti")
+    labels = components(inner.select(at("lo").alias("lo"), at("hi").alias("hi")))
     return labels.select(F.col("node.c").alias("cell_id"), F.col("node.n").alias("node_id"), F.col("label.n").alias("label"))
 
 
