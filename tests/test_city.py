@@ -200,3 +200,12 @@ def test_progress_and_running_load(spark, tmp_path):
     query = traffic_stream.running_load(stream).writeStream.outputMode("update").format("memory").queryName("loads").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r["osmid"], r["vehicles"]) for r in spark.table("loads").collect()} == {(4, 74), (8, 37)}
+
+
+def test_utm_of_a_known_place(spark):
+    """A tower whose UTM place is published: zone 17, 630084 m east (500000 of them false) and 4833438 m north; mirrored south of the equator."""
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(*[G.utm_point(F.struct(F.lit(-79.387139).alias("x"), F.lit(s * 43.642567).alias("y")), F.lit(-81.0)).alias(n) for n, s in (("north", 1), ("south", -1))]).first()
+    assert (row["north"].x + 500000, row["north"].y) == pytest.approx((630084, 4833438), abs=2)
+    assert (row["south"].x, row["south"].y) == pytest.approx((row["north"].x, -row["north"].y), abs=1e-6)
