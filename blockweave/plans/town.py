@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockweave.functions import geometry as G
 from blockweave.functions.lineage import cut
-from blockweave.operators import access, display, graphs, lines, network, partition, polygonize, simplify, sizing, traffic, validity
+from blockweave.operators import access, display, graphs, lines, network, parting, partition, polygonize, simplify, sizing, traffic, validity
 from blockweave.plans import catalog as C
 from blockweave.sources import network as S
 from blockweave.sources import town
@@ -75,6 +76,15 @@ def town_streets_in_cells(spark, d):
     return r.select("street_id", "cell_id", "meets", (F.col("inside") & ~F.col("outside")).alias("within"), (F.col("inside") & F.col("outside")).alias("crosses"), role.alias("role"))
 
 
+@query
+def town_cells_parted(spark, d):
+    """The parts of the grid's cells by each of the town's bent streets that runs in them: how many, and twice the area of all and of the smallest."""
+    r = lines.relations(town.lines(spark, d), S.cells(spark, d), ["street_id"]).where("inside").select("street_id", "cell_id")
+    pairs = r.join(town.lines(spark, d), "street_id").join(S.cells(spark, d), "cell_id")
+    made = parting.parted(pairs, ["cell_id", "street_id"]).withColumn("area2", 2 * G.signed_area(F.col("ring")))
+    return made.groupBy("cell_id", "street_id").agg(F.count("*").alias("parts"), F.round(F.sum("area2"), 12).alias("area2"), F.round(F.min("area2"), 12).alias("least2"))
+
+
 @query
 def town_faces(spark, d):
     """Faces between the town's streets, with the islands in them as holes."""

@@ -65,16 +65,6 @@ def test_loops_and_outlines():
     assert sorted(sorted(w[:-1]) for w in eight) == [[1, 2, 3], [1, 4, 5]]
 
 
-def test_chord_parts_a_square():
-    square = np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float)
-    area = lambda p: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:], strict=False))) / 2
-    for p, q, want in (((1, 1), (1, 2), [4, 12]), ((2, 1), (2, 3), [8, 8]), ((1.5, 1.5), (2.5, 2.5), [8, 8])):
-        assert sorted(area(x) for x in partition.chord(square, np.array(p, float), np.array(q, float))) == pytest.approx(want)
-    assert partition.chord(square, np.array((1.0, 1.0)), np.array((1.0, 1.0))) is None
-    u = np.array([(0, 0), (6, 0), (6, 4), (4, 4), (4, 1), (2, 1), (2, 4), (0, 4), (0, 0)], float)
-    assert partition.chord(u, np.array((0.5, 3.0)), np.array((1.0, 3.0))) is None
-
-
 def test_merged_outline_of_neighbours_with_other_corners(spark):
     a, b, c = ring((0, 0), (1, 0), (1, 2), (0, 2)), ring((1, 0), (2, 0), (2, 1), (1, 1)), ring((1, 1), (2, 1), (2, 2), (1, 2))
     small = [[{k: v / 256 for k, v in p.items()} for p in r] for r in (a, b, c)]
