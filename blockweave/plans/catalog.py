@@ -14,7 +14,7 @@ from blockweave.operators import access, blocks, cell_merge, display, graphs, ne
 from blockweave.plans.oracle import ORACLE_SQL  # noqa: F401
 from blockweave.sources import network as S
 from blockweave.sources import geojson, result_cache
-from blockweave.streaming import traffic_stream
+from blockweave.streaming import road_state, traffic_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -397,6 +397,12 @@ def traffic_sessions(spark, d):
     return traffic_stream.sessions(S.table(spark, d, "events"))
 
 
+@query
+def road_runs(spark, d):
+    """Runs of a road's events without a gap of more than half an hour."""
+    return road_state.road_runs(S.table(spark, d, "events"))
+
+
 @query
 def sliding_traffic(spark, d):
     return traffic_stream.hourly_counts(S.table(spark, d, "events"), width="1 hour", slide="30 minutes")

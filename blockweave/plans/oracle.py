@@ -90,6 +90,9 @@ SELECT cell_id, greatest(0, least(100, 50 + CASE WHEN ha BETWEEN 9 AND 16 THEN 2
     "network_after_changes": BASE + "SELECT u, v, key, length FROM e WHERE NOT (least(u, v) % 7 = 0) AND NOT (least(u, v) % 11 = 0 AND u > v)",
     "progress_display": """WITH p AS (SELECT event_id, CAST(event_id % 300 AS DOUBLE) AS elapsed, CAST(event_id % 101 AS DOUBLE) AS percent FROM events)
 SELECT event_id, round(CASE WHEN percent <= 0 THEN 90.0::DOUBLE ELSE greatest(0, elapsed / (percent / 100) - elapsed) END, 3) AS remaining, printf('%d:%02d', CAST(floor(elapsed / 60) AS BIGINT), CAST(elapsed AS BIGINT) % 60) AS clock, CASE WHEN percent >= 70 THEN 'good' WHEN percent >= 50 THEN 'ok' ELSE 'poor' END AS band, CAST(event_id % 10 AS INTEGER) AS colour FROM p""",
+    "road_runs": """WITH a AS (SELECT user_id * 4 AS osmid, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT osmid, ts, sum(fresh) OVER (PARTITION BY osmid ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM a)
+SELECT osmid, min(ts) AS first_event, max(ts) AS last_event, count(*) * 37 AS vehicles FROM b GROUP BY osmid, run""",
     "traffic_sessions": """WITH a AS (SELECT user_id * 4 AS osmid, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT osmid, ts, sum(fresh) OVER (PARTITION BY osmid ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM a) SELECT osmid, min(ts) AS start, count(*) AS n FROM b GROUP BY osmid, k""",
     "sliding_traffic": "WITH a AS (SELECT user_id * 4 AS osmid, time_bucket(INTERVAL '30 minutes', ts) AS b FROM events), w AS (SELECT osmid, b AS start FROM a UNION ALL SELECT osmid, b - INTERVAL '30 minutes' FROM a) SELECT osmid, start, count(*) * 37 AS volume FROM w GROUP BY 1, 2",
