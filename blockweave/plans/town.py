@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
 from blockweave.functions.lineage import cut
-from blockweave.operators import access, display, graphs, lines, network, parting, partition, polygonize, simplify, sizing, traffic, validity
+from blockweave.operators import access, display, graphs, lines, network, outlines, parting, partition, polygonize, simplify, sizing, traffic, validity
 from blockweave.plans import catalog as C
 from blockweave.sources import network as S
 from blockweave.sources import town
@@ -85,18 +85,30 @@ def town_cells_parted(spark, d):
     return made.groupBy("cell_id", "street_id").agg(F.count("*").alias("parts"), F.round(F.sum("area2"), 12).alias("area2"), F.round(F.min("area2"), 12).alias("least2"))
 
 
-@query
-def town_faces(spark, d):
-    """Faces between the town's streets, with the islands in them as holes."""
+def _faces(spark: SparkSession, d: str) -> DataFrame:
     at = network.with_points(town.edges(spark, d), town.nodes(spark, d)).where("u < v")
     segments = cut(at.select(F.xxhash64("u", "v").alias("seg_id"), F.col("ux").alias("x1"), F.col("uy").alias("y1"), F.col("vx").alias("x2"), F.col("vy").alias("y2")).distinct())
     pieces = cut(partition.noded(segments))
     ends = pieces.select(F.col("a").alias("node_id"), F.col("x1").alias("x"), F.col("y1").alias("y")).union(pieces.select("b", "x2", "y2"))
     points = cut(ends.groupBy("node_id").agg(F.min("x").alias("x"), F.min("y").alias("y")))
-    f = polygonize.face_polygons(pieces.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), points)
+    return polygonize.face_polygons(pieces.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), points)
+
+
+@query
+def town_faces(spark, d):
+    """Faces between the town's streets, with the islands in them as holes."""
+    f = _faces(spark, d)
     return f.select("cell_id", F.size("ring").alias("corners"), F.size("holes").alias("islands"), F.round("area2", 12).alias("area2"))
 
 
+@query
+def town_faces_thinned(spark, d):
+    """The same faces with their outlines thinned by the usual tolerance, once for both neighbours."""
+    f = outlines.thinned(cut(_faces(spark, d).select("cell_id", "ring", "holes")))
+    area2 = F.aggregate("holes", 2 * G.signed_area(F.col("ring")), lambda a, h: a + 2 * G.signed_area(h))
+    return f.select("cell_id", F.size("ring").alias("corners"), F.size("holes").alias("islands"), F.round(area2, 12).alias("area2"))
+
+
 @query
 def ring_reasons(spark, d):
     """Blocks by the reason for which their ring isn't a simple polygon."""
