@@ -73,6 +73,21 @@ def violation_paths(links: DataFrame, sectors: DataFrame, changes: DataFrame | N
     return done.select(F.col("task.cell_id").alias("cell_id"), F.col("task.sector").alias("sector_a"), F.col("b").alias("sector_b"), F.col("streets").cast("int").alias("streets"), "path")
 
 
+def directed_violations(links: DataFrame, sectors: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """(cell_id, sector_from, sector_to, entries): entries of another sector that can be driven to from an entry of the first, on inner streets and in their direction.
+
+    Unlike ``violations``, which asks for ways in either sense, a one-way street can mend
+    one.  All entries of a sector search together, in rounds of joins.
+    """
+    inner = links.where("role = 'interior'").select("cell_id", "u", "v")
+    left = inner if changes is None else apply_changes(inner, changes)
+    at = lambda c: F.struct(F.col("cell_id").alias("c"), F.col(c).alias("n"))
+    arcs = cut(left.select(at("u").alias("u"), at("v").alias("v"), F.lit(1.0).alias("cost")).distinct())
+    doors = cut(sectors.select(F.struct("cell_id", "sector").alias("task"), at("node_id").alias("node"), "sector").distinct())
+    met = distances(arcs, doors.select("task", "node")).select("task", "node").join(doors.select("node", F.col("sector").alias("b")), "node").where(F.col("b") != F.col("task")["sector"])
+    return met.groupBy(F.col("task.cell_id").alias("cell_id"), F.col("task.sector").alias("sector_from"), F.col("b").alias("sector_to")).agg(F.countDistinct("node").alias("entries"))
+
+
 def unreachable(links: DataFrame, sectors: DataFrame, changes: DataFrame) -> DataFrame:
     """(cell_id, node_id) of inner nodes that no entry reaches along the directed streets that are left.
 

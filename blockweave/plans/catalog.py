@@ -353,6 +353,13 @@ def cell_violations(spark, d):
     return access.violations(links, _sectors(spark, d, links))
 
 
+@query
+def cell_directed_violations(spark, d):
+    """Entries of other sectors that can be driven to inside a cell, by sectors."""
+    links = _links(spark, d)
+    return access.directed_violations(links, _sectors(spark, d, links))
+
+
 @query
 def cell_violation_paths(spark, d):
     """An example path for each two sectors of a cell that its inner streets join."""

@@ -127,3 +127,9 @@ wk(cell_id, sa, sb, hops, node, far, path) AS (SELECT cell_id, sa, sb, hops, nod
   UNION ALL SELECT wk.cell_id, sa, sb, wk.hops, came, far - 1, came || ',' || path FROM wk JOIN pv ON pv.cell_id = wk.cell_id AND pv.sector = wk.sa AND pv.node = wk.node WHERE far > 0)
 SELECT cell_id, sa AS sector_a, sb AS sector_b, hops AS streets, path FROM wk WHERE far = 0"""
 )
+VIEWS_SQL["cell_directed_violations"] = (
+    _SECTORS
+    + """, dw AS MATERIALIZED (SELECT DISTINCT cell_id, u AS a, v AS b FROM links WHERE role = 'interior'),
+dr(cell_id, sector, node) AS (SELECT DISTINCT cell_id, sector, node_id FROM se UNION SELECT dr.cell_id, dr.sector, dw.b FROM dr JOIN dw ON dw.cell_id = dr.cell_id AND dw.a = dr.node)
+SELECT dr.cell_id, dr.sector AS sector_from, se.sector AS sector_to, count(*) AS entries FROM dr JOIN se ON se.cell_id = dr.cell_id AND se.node_id = dr.node WHERE se.sector <> dr.sector GROUP BY 1, 2, 3"""
+)

@@ -86,3 +86,14 @@ def test_reports_same_as_plain_searches(spark):
     total = QUERIES["city_totals"](spark, SF).first()
     assert (total["modal_filters"], total["one_way"], total["unreachable"]) == (sum(r.kind == "modal_filter" for r in all_changes), sum(r.kind == "one_way" for r in all_changes), lost)
     assert {(r.cell_id, r.sector_a, r.sector_b) for r in QUERIES["cell_violations_after_changes"](spark, SF).collect()} == broken
+
+
+@pytest.mark.parametrize(("kind", "way", "want"), [(None, None, {(0, 1): 2, (1, 0): 1}), ("one_way", "lo_to_hi", {(0, 1): 2}), ("one_way", "hi_to_lo", {(1, 0): 1}), ("modal_filter", None, {})])
+def test_one_way_streets_mend_a_direction(spark, kind, way, want):
+    """Entry 1 of a sector and entries 3 and 4 of another on 1-2-3, 2-4; the change is of 1-2."""
+    pairs = [(1, 2), (2, 3), (2, 4)]
+    links = spark.createDataFrame([(7, a, b, 0, "interior") for a, b in pairs + [p[::-1] for p in pairs]] + [(7, 3, 1, 0, "boundary")], "cell_id long, u long, v long, key int, role string")
+    sectors = spark.createDataFrame([(7, 1, 0), (7, 3, 1), (7, 4, 1)], "cell_id long, node_id long, sector int")
+    changes = spark.createDataFrame([(7, 1, 2, kind, 1.0, way)] if kind else [], "cell_id long, lo long, hi long, kind string, cost double, direction string")
+    got = access.directed_violations(links, sectors, changes).collect()
+    assert {(r.sector_from, r.sector_to): r.entries for r in got} == want
