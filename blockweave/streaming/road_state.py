@@ -4,7 +4,9 @@ A run is a road's events without a longer gap.  In a stream a road's open runs a
 state: events extend or join them in whatever order they come, and a timer of event time
 ends a run once the watermark has passed its last event by the gap.  It is given out then,
 and a road without an open run has no state left.  Events behind the watermark are dropped
-by Spark.  On a table the same runs come from a window.
+by Spark.  On a table the same runs come from spans of time as wide as the gap: a road's
+events in one span are one run, so they are counted first, and only spans, of which a road
+has few a day however many events it has, are put in order.
 """
 
 from __future__ import annotations
@@ -81,11 +83,13 @@ def road_runs(events: DataFrame, gap_minutes: int = 30, late: str = "10 minutes"
     gap = gap_minutes * 60_000_000
     moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     if not events.isStreaming:
-        by = W.partitionBy("osmid").orderBy("us")
+        us = F.col("us")
         t = e.select("osmid", F.unix_micros("ts").alias("us"))
-        t = t.withColumn("new", F.coalesce((F.col("us") - F.lag("us").over(by) > gap).cast("long"), F.lit(1)))
-        t = t.withColumn("run", F.sum("new").over(by.rangeBetween(W.unboundedPreceding, W.currentRow)))
-        g = t.groupBy("osmid", "run").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), (F.count("*") * VEHICLES).alias("vehicles"))
+        t = t.groupBy("osmid", (us - F.pmod(us, F.lit(gap))).alias("span")).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"))
+        by = W.partitionBy("osmid").orderBy("span")
+        t = t.withColumn("new", F.coalesce((F.col("first_us") - F.lag("last_us").over(by) > gap).cast("long"), F.lit(1)))
+        t = t.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        g = t.groupBy("osmid", "run").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), (F.sum("n") * VEHICLES).alias("vehicles"))
     else:
         events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
         t = e.withWatermark("ts", late).select("osmid", "ts", F.unix_micros("ts").alias("us"))

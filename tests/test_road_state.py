@@ -56,6 +56,16 @@ def test_stream_over_a_restart_equals_table(spark, tmp_path):
     assert display.parse_events(texts).count() == len(seen)
 
 
+def test_runs_across_spans(spark):
+    """Before and after 1970, just the gap apart and a microsecond more, repeated."""
+    epoch, gap = datetime(1970, 1, 1), timedelta(minutes=30)
+    us = timedelta(microseconds=1)
+    times = [epoch - gap, epoch - gap, epoch, epoch + gap + us, epoch + 2 * gap + us, epoch + 2 * gap + us, epoch - 2 * gap - us]
+    rows = road_state.road_runs(spark.createDataFrame([(1, t) for t in times], "user_id long, ts timestamp_ntz")).collect()
+    want = [(epoch - 2 * gap - us, epoch - 2 * gap - us, 37), (epoch - gap, epoch, 37 * 3), (epoch + gap + us, epoch + 2 * gap + us, 37 * 3)]
+    assert sorted((r.first_event, r.last_event, r.vehicles) for r in rows) == want
+
+
 def test_tables_without_runs(spark):
     empty = spark.createDataFrame([], "user_id long, ts timestamp_ntz")
     assert road_state.road_runs(empty).count() == 0
