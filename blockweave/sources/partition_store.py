@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _to_five(c: Column) -> Column:
+    """The nearest multiple of 1e-5 of the double itself, halves away from zero; ``round`` would take the digits that the double prints as."""
+    v = F.abs(c) * 1e5
+    whole = F.floor(v).cast("double")
+    near = (whole + F.when(v - whole >= 0.5, 1.0).otherwise(0.0)) / 1e5
+    return F.when(c < 0, F.negative(near)).otherwise(near)
+
+
 def box_key(north: Column, south: Column, east: Column, west: Column) -> Column:
     """A box to five decimals as text."""
-    return F.concat_ws("_", *[F.format_string("%.5f", F.round(c, 5)) for c in (north, south, east, west)])
+    return F.concat_ws("_", *[F.format_string("%.5f", _to_five(c)) for c in (north, south, east, west)])
 
 
 class PartitionStore:
