@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import geometry as G
 from blockweave.functions import rings
+from blockweave.operators import lines
 
 SCHEMA = "ring array<struct<x:double,y:double>>, x double, y double"
 
@@ -27,3 +28,13 @@ def test_batches_give_what_expressions_give(spark):
     on = lambda s: G.boundary_distance(ring, s["x"], s["y"]) <= 1e-9
     want = F.transform("spots", lambda s: F.when(on(s), 0).when(G.contains(ring, s["x"], s["y"]), 1).otherwise(2))
     assert all(a == b for a, b in made.select("got", want).collect())
+
+
+def test_lines_meet_rings_in_batches(spark):
+    """Neither the boxes of rings nor distances from them are left to be computed row by row in one plan with the pairs of pieces and sides."""
+    point = "struct<x:double,y:double>"
+    line = spark.createDataFrame([(1, [(0.5, 0.5), (3.0, 0.5)])], f"street_id long, geom array<{point}>")
+    shape = spark.createDataFrame([(7, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])], f"cell_id long, ring array<{point}>")
+    out = lines.relations(line, shape, ["street_id"], size=0.5)
+    assert "array_min" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.asDict() for r in out.collect()] == [{"street_id": 1, "cell_id": 7, "meets": True, "inside": True, "outside": True, "on": False, "holds": False}]
