@@ -66,3 +66,16 @@ def test_meetings_of_pieces_and_sides(spark):
     names = [f"{s}{c}" for s in "pq" for c in ("x1", "y1", "x2", "y2")]
     df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"{n} double" for n in names)).coalesce(1)
     assert [r[0] for r in df.select(rings.meetings(1e-9)(*names)).collect()] == [[0.25], None, [0.0, 0.5], None, None, [1.0]]
+
+
+def test_done_faces_leave_the_rounds(spark, monkeypatch):
+    n = 40
+    # A long ladder: faces of four sides, and an outer ring of 2 * n.
+    links = [(k, k + 1) for k in range(n - 1)] + [(100 + k, 101 + k) for k in range(n - 1)] + [(k, 100 + k) for k in range(n)]
+    nodes = spark.createDataFrame([(k + 100 * row, float(k), float(row)) for k in range(n) for row in (0, 1)], "node_id long, x double, y double")
+    rounds, cut = [], polygonize.cut
+    monkeypatch.setattr(polygonize, "cut", lambda df: (lambda out: "done" in out.columns and rounds.append(out.count()) or out)(cut(df)))
+    got = polygonize.faces(spark.createDataFrame(links, "lo long, hi long"), nodes).collect()
+    assert sorted(r["n_edges"] for r in got) == [4] * (n - 1) + [2 * n]
+    assert {tuple(r["nodes"]) for r in got if r["nodes"]} == {(k, k + 1, 100 + k, 101 + k) for k in range(n - 1)}
+    assert rounds[0] == 2 * len(links) and 0 < rounds[-1] <= 2 * n
